@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corroba.llm.common import stored
 from corroba.llm.features import WIDTH, Scale, small_sample, text_features
@@ -196,7 +197,7 @@ def mix(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_i
     model = fit_domains(labelled if labelled is not None else docs, id_col, text_col, domain_col, per_domain)
     known = stored(posteriors(docs, model, id_col, text_col), "posteriors")
     steps, *_ = fit_rates(known, model.domains, weights, temper, floor, max_steps, tolerance)
-    schema = docs.schema.add("__rate", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corroba.llm.common import crc32_fold
 from corroba.llm.features import WIDTH, Scale, small_sample, text_features
@@ -98,7 +99,7 @@ def quality_scores(
 
     if keep_rows:
         rows = docs.withColumn("__score_text", F.col(text_col).cast("string"))
-        schema = docs.schema.add("__predicted", "int")
+        schema = T.StructType([*docs.schema.fields, T.StructField("__predicted", T.IntegerType())])
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
