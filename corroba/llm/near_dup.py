@@ -4,17 +4,23 @@
    hashes are its sketch (one hash function). Equal sets form one class.
 2. The ``index_k`` smallest values of every class go to inverted lists. A pair
    at the threshold shares at least ``floor_shared`` of them but for a chance
-   under 1e-9, so a class needs only its rarest ``index_k - floor_shared + 1``
-   values (rarest first in one global order), and a class that shares fewer
-   values with the whole corpus than that floor leaves at once. Sets that fit
-   in the sketch have the exact floor.
-3. Star rounds: in each list the most central class is compared with all the
-   others, linear in the list. Pairs pass a length bound, the Jaccard estimate
+   under 1e-9 (sets that fit in the sketch have the exact floor), so a class
+   that shares fewer values with the whole corpus leaves at once.
+3. Of the classes that are left, the ``deep_k`` smallest values (most sets whole)
+   go to new lists, again with a floor; by the prefix principle a class needs
+   only its rarest values, as many as lie beyond the floor, and one with more
+   values of its own than that leaves. Lists are cut into cells of two length
+   bands each, as wide as the threshold allows lengths to differ.
+4. A star round: in each cell the most central class is compared with all the
+   others, linear in the cell. Pairs pass a length bound, the Jaccard estimate
    of the bottom-k of the union of both sketches, then the exact Jaccard of the
-   full sets. Linked classes merge. In the next round each list goes on with
-   the classes that are not yet together, without the pivots it has had, until
-   no list holds two components that were not compared. Short lists emit their
-   remaining pairs at once, long ones go on by pivots, so nothing is capped.
+   full sets. Linked classes merge.
+5. Cells that still hold two components are joined to clusters. A cluster's
+   classes are sorted by length and dealt to blocks of ``block`` classes; pairs of
+   blocks whose lengths can match and that hold two components are a task each,
+   which counts all overlaps of full sets by a matrix product over the values
+   that two classes share, and returns only links that join two components. So
+   no pair is capped or emitted without need, and no task holds over two blocks.
 
 A component is therefore the same as with all pairs compared, and a group of m
 near copies costs about m comparisons.
@@ -66,10 +72,22 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, k: int) ->
     return rows.mapInArrow(run, f"doc_id {doc_type}, n_shingles bigint, digest binary, sketch array<bigint>")
 
 
-def _floor(m: str, n: str, index_k: int, floor_shared: int, percent: int) -> str:
-    """Values that a class must share with any partner: all of a small set's share, else the floor of the sketch."""
-    small = index_k * percent // 100
-    return f"case when {n} <= {small} then cast(ceil({percent} * {n} / 100) as int) else least({m}, {floor_shared}) end"
+def _floor(n: str, k: int, floor: int, percent: int) -> str:
+    """Values of its k smallest that a class must share with any partner: a small set's whole share, else the floor of the sketch."""
+    return f"case when {n} <= {k * percent // 100} then cast(ceil({percent} * {n} / 100) as int) else {floor} end"
+
+
+def _deep_values(texts: DataFrame, words: int, k: int) -> DataFrame:
+    """(digest, n, v): the k smallest values of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingle_set(text.as_py(), words)
+                v = _signed(s[:k])
+                yield pa.RecordBatch.from_arrays([pa.array([digest] * len(v), pa.binary()), pa.array(np.full(len(v), len(s))), pa.array(v)], ["digest", "n", "v"])
+
+    return texts.select("digest", "text").mapInArrow(run, "digest binary, n bigint, v bigint")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, block: int = 256) -> DataFrame:
@@ -99,6 +117,78 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, block:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def _block_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components inside each (cluster, i, j); rows: cluster, i, j, side, digest, component, text."""
+
+    def links(held: list[tuple]) -> list[tuple]:
+        sets = [shingle_set(r[3], words) for r in held]
+        sizes = np.array([len(x) for x in sets])
+        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        keep = counts[inverse] > 1
+        column = np.cumsum(counts > 1)[inverse[keep]] - 1
+        owner, width = owner[keep], int((counts > 1).sum())
+        left = np.array([i for i, r in enumerate(held) if r[0] == 0])
+        right = np.array([i for i, r in enumerate(held) if r[0] == 1])
+        right = left if not len(right) else right
+        both = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        step = 4096
+        for at in range(0, width, step):
+            a, b = np.searchsorted(column, [at, at + step])
+            part = np.zeros((len(sets), step), np.float32)
+            part[owner[a:b], column[a:b] - at] = 1
+            both += part[left] @ part[right].T
+        near = np.argwhere(100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both))
+        root: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for x, y in near:
+            p, q = held[left[x]], held[right[y]]
+            m, n = top(p[2]), top(q[2])
+            if m != n:
+                root[m] = n
+                out.append((p[1], q[1]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        out: list[tuple] = []
+        for batch in batches:
+            for c, i, j, *row in zip(*(batch.column(n).to_pylist() for n in range(7)), strict=True):
+                if (c, i, j) != key:
+                    out += links(held) if held else []
+                    key, held = (c, i, j), []
+                held.append(tuple(row))
+        out += links(held) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def _within_clusters(mixed: DataFrame, texts: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """All links between components of classes that share a mixed cell; ``mixed``: v, band, digest, n, component."""
+    heads = mixed.groupBy("v", "band").agg(F.min("digest").alias("head"))
+    clusters = connected_components(mixed.join(heads, ["v", "band"]).where("digest <> head").select("digest", "head").distinct(), "digest", "head")
+    members = mixed.select("digest", "n", "component").distinct().join(clusters.select(F.col("node").alias("digest"), F.col("component").alias("cluster")), "digest")
+    blocks = stored(members.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("cluster").orderBy("n", "digest")) - 1) / block).cast("int")), "blocks")
+    span = blocks.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    i = span.select("cluster", F.col("block").alias("i"), F.col("hi").alias("hi"), "c0", "c1")
+    j = span.select("cluster", F.col("block").alias("j"), F.col("lo").alias("lo"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+    tasks = i.join(j, "cluster").where(f"i <= j and 100 * hi >= {percent} * lo and not (c0 = c1 and d0 = d1 and c0 = d0)").select("cluster", "i", "j")
+    first = tasks.join(blocks.withColumnRenamed("block", "i"), ["cluster", "i"]).select("cluster", "i", "j", F.lit(0).alias("side"), "digest", "component")
+    second = tasks.where("i < j").join(blocks.withColumnRenamed("block", "j"), ["cluster", "j"]).select("cluster", "i", "j", F.lit(1).alias("side"), "digest", "component")
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = first.union(second).join(texts, "digest").select("cluster", "i", "j", "side", "digest", "component", "text")
+    return _block_links(rows.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "digest"), words, percent)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -108,91 +198,72 @@ def near_duplicates(
     k: int = 64,
     index_k: int = 32,
     floor_shared: int = 12,
-    short_list: int = 48,
-    pivots: int = 8,
+    deep_k: int = 1024,
+    deep_floor: int = 790,
+    block: int = 512,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row a row of ``docs``.
 
-    ``percent``: least Jaccard, in hundredths. ``short_list``: lists of at most
-    so many classes emit all their remaining pairs after the first round.
-    ``pivots``: pivots a round of longer lists.
+    ``percent``: least Jaccard, in hundredths; the floors belong to 85.
+    ``block``: classes of a block; a task holds the sets of two.
     """
     rows = stored(sketches(docs, id_col, text_col, words, k), "sketches")
     classes = stored(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
-    values = classes.select("digest", "n", F.least(F.size("sketch"), F.lit(index_k)).alias("m"), F.explode(F.slice("sketch", 1, index_k)).alias("v"))
-    frequent = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    held = values.join(frequent, "v")
-    order = Window.partitionBy("digest").orderBy("df", "v")
+    values = classes.select("digest", "n", F.explode(F.slice("sketch", 1, index_k)).alias("v"))
+    frequent = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
+    held = values.join(frequent, "v").groupBy("digest").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    alive = stored(held.where(f"shared >= {_floor('n', index_k, floor_shared, percent)}").select("digest"), "alive")
+
+    need_text = classes.select("digest", "rep").join(alive, "digest", "left_semi")
+    found = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(need_text.select("rep").distinct(), "rep", "left_semi")
+    texts = stored(_class_texts(found, words).join(alive, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
+    sketch = classes.select("digest", "sketch").join(alive, "digest", "left_semi")
+
+    deep = stored(_deep_values(texts, words, deep_k), "deep")
+    common_values = deep.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     every = Window.partitionBy("digest")
-    need = _floor("m", "n", index_k, floor_shared, percent)
+    band = F.floor(F.log("n") / -np.log(percent / 100)).cast("int")
     lists = (
-        held.withColumn("at", F.row_number().over(order))
+        deep.join(common_values, "v")
+        .withColumn("at", F.row_number().over(every.orderBy("df", "v")))
         .withColumn("shared", F.count("*").over(every))
         .withColumn("central", F.sum("df").over(every))
-        .withColumn("need", F.expr(need))
-        .where("shared >= need and at <= m - need + 1 - (m - shared)")
-        .select("v", "digest", "n", "central")
+        .where(f"at <= shared - {_floor('n', deep_k, deep_floor, percent)} + 1")
+        .select("v", F.explode(F.array(band - 1, band)).alias("band"), "digest", "n", "central")
     )
     lists = stored(lists, "lists")
 
-    need_text = lists.select("digest").distinct().join(classes.select("digest", "rep"), "digest")
-    found = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(need_text.select("rep").distinct(), "rep", "left_semi")
-    texts = stored(_class_texts(found, words).join(need_text.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "texts")
-    sketch = classes.select("digest", "sketch")
-
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    together: DataFrame | None = None
-    live, turn = lists, 0
-    while True:
-        ranked = live.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("central"), "digest"))) if turn else None
-        if turn == 0:
-            first = live.groupBy("v").agg(F.max(F.struct("central", "digest", "n")).alias("top"))
-            pairs = live.join(first, "v").select(F.col("digest").alias("a"), F.col("top.digest").alias("b"), "n", F.col("top.n").alias("bn"), F.lit(0).alias("ca"), F.lit(1).alias("cb"))
-            spent = first.select("v", F.col("top.digest").alias("digest"))
-        else:
-            sizes = ranked.groupBy("v").agg(F.count("*").alias("size"))
-            ranked = ranked.join(sizes, "v")
-            lead = ranked.where(f"rank <= case when size <= {short_list} then size else {pivots} end")
-            top = lead.select("v", F.col("digest").alias("b"), F.col("n").alias("bn"), F.col("component").alias("cb"), F.col("rank").alias("br"))
-            pairs = ranked.join(top, "v").where("rank > br").select(F.col("digest").alias("a"), "b", "n", "bn", F.col("component").alias("ca"), "cb")
-            spent = lead.select("v", "digest")
-        near = pairs.where(f"a <> b and ca <> cb and 100 * least(n, bn) >= {percent} * greatest(n, bn)").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), (F.col("a") < F.col("b")).alias("low")).groupBy("x", "y").agg(F.min("low").alias("low"))
-        if tested is not None:
-            near = near.join(tested, ["x", "y"], "left_anti")
-        fresh = stored(near.select("x", "y", F.when(F.col("low"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("low"), F.col("y")).otherwise(F.col("x")).alias("b")), "pairs")
-        if not fresh.isEmpty():
-            close = fresh.select("a", "b").join(sketch.select(F.col("digest").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("digest").alias("b"), F.col("sketch").alias("sb")), "b")
-            union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-            both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-            close = close.where(2 * both >= F.size(union)).select("a", "b")
-            linked = stored(_verify(stored(close, "close"), texts, words, percent), "links")
-            links = linked if links is None else links.union(linked)
-            pairs_done = fresh.select("x", "y")
-            tested = pairs_done if tested is None else tested.union(pairs_done)
-            together = stored(connected_components(links), "components")
-        known = live.drop("component").join(spent, ["v", "digest"], "left_anti")
-        if together is not None:
-            known = known.join(together.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-        else:
-            known = known.withColumn("component", F.col("digest"))
-        mixed = known.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("v")
-        live = stored(known.join(mixed, "v", "left_semi"), "live")
-        turn += 1
-        if live.isEmpty():
-            break
+    first = lists.groupBy("v", "band").agg(F.max(F.struct("central", "digest", "n")).alias("top"))
+    pairs = lists.join(first, ["v", "band"]).select(F.col("digest").alias("a"), F.col("top.digest").alias("b"), "n", F.col("top.n").alias("m"))
+    near = pairs.where(f"a <> b and 100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b").distinct()
+    close = near.join(sketch.select(F.col("digest").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("digest").alias("b"), F.col("sketch").alias("sb")), "b")
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
+    both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
+    close = stored(close.where(2 * both >= F.size(union)).select("a", "b"), "close")
+    links = stored(_verify(close, texts, words, percent), "links")
+    together = stored(connected_components(links), "components") if not links.isEmpty() else None
+
+    def with_component(df: DataFrame) -> DataFrame:
+        if together is None:
+            return df.withColumn("component", F.col("digest"))
+        return df.join(together.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+
+    known = with_component(lists.select("v", "band", "digest", "n"))
+    open_cells = known.groupBy("v", "band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("v", "band")
+    mixed = stored(known.join(open_cells, ["v", "band"], "left_semi"), "mixed")
+    if not mixed.isEmpty():
+        more = stored(_within_clusters(mixed, texts, words, percent, block), "more")
+        if not more.isEmpty():
+            together = stored(connected_components(links.union(more)), "components")
 
     named = classes.select("digest", "rep", "copies", "n")
-    if together is not None:
-        named = named.join(together.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    else:
-        named = named.withColumn("component", F.col("digest"))
+    named = with_component(named)
     linked_only = named.where("component <> digest or copies > 1").select("component").union(named.where("component <> digest").select("component")).distinct()
     groups = named.join(linked_only, "component", "left_semi")
     smallest = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = stored(groups.join(smallest, "component").select("digest", "component_id"), "ids")
-    discard(docs.sparkSession, texts, lists)
+    discard(docs.sparkSession, texts, lists, deep)
     return (
         rows.select("doc_id", "n_shingles", "digest")
         .join(ids, "digest", "left")
