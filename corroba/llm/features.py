@@ -73,9 +73,9 @@ def feature_rows(rows: DataFrame, columns: list[str], text_col: str) -> DataFram
     return kept.mapInArrow(run, schema)
 
 
-def small_sample(rows: DataFrame, id_col: str, text_col: str, n: int, seed: int) -> np.ndarray:
-    """Features of the whole texts of at most ``n`` rows, those with the smallest hash of their id; in id order, so that fits repeat."""
-    chosen = rows.where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(n).distinct()
+def small_sample(rows: DataFrame, id_col: str, text_col: str, n: int, seed: int, ids: DataFrame | None = None) -> np.ndarray:
+    """Features of the whole texts of at most ``n`` rows, those with the smallest hash of their id; in id order, so that fits repeat. ``ids``: the ids to choose from, else those of ``rows``; texts are not shuffled."""
+    chosen = (rows if ids is None else ids).where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(n).distinct()
     found = feature_rows(rows.join(F.broadcast(chosen), id_col, "left_semi"), [id_col], text_col)
     got = sorted((r[0], zlib.crc32(r.x), bytes(r.x)) for r in found.limit(2 * n).toLocalIterator())
     return np.frombuffer(b"".join(g[2] for g in got), np.float32).reshape(-1, WIDTH)

@@ -79,7 +79,7 @@ def quality_scores(
     base = docs.select(id_col, F.col(text_col).alias("__text"))
     ones, zeros = known.agg(F.sum(F.when(F.col("__label") == 1, 1)), F.sum(F.when(F.col("__label") != 1, 1))).first()
     trusted = known.where("__label = 1").select(id_col)
-    p = small_sample(base.join(trusted, id_col, "left_semi"), id_col, "__text", positives, 1)
+    p = small_sample(base, id_col, "__text", positives, 1, docs.select(id_col).join(trusted, id_col, "left_semi"))
     u = small_sample(base.where(fold != held_out), id_col, "__text", unlabelled, 2)
     if len(p) and len(u):
         scale = Scale(u)
