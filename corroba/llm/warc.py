@@ -161,6 +161,7 @@ def write_archives(pages: DataFrame, path: str, page_col: str = "page_id", url_c
     rows = pages.select(F.col(page_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), captured.alias("ts"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("key", F.when(F.octet_length("payload") >= min_bytes, F.unhex(F.sha2("payload", 256))))
     groups = rows.where("key is not null").groupBy("key").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = stored(groups, "payload-groups")  # with its size known, Spark broadcasts it if it is small and sorts both sides if not
     typed = rows.join(groups, "key", "left").withColumn("revisit", F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
