@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corroba.llm.common import crc32_fold
+from corroba.llm.common import crc32_fold, text_batches
 from corroba.llm.tokens import vocabulary
 
 PIECES = "piece_bpe_32k.model"
@@ -40,6 +40,8 @@ UNKNOWN = 1e-8
 MAX_LANGUAGES = 200
 #: Words whose log-likelihoods a worker remembers.
 CACHE_WORDS = 800_000
+#: Longer words are scored one by one, with rescaling, and not remembered.
+SHORT = 24
 _LETTER = re.compile(r"[^\W\d_]")
 #: Characters after which the forward sums are rescaled.
 _RESCALE = 24
@@ -105,8 +107,15 @@ class LanguageModel:
         self.reset()
 
     def reset(self) -> None:
-        self.table = dict(zip(self.pieces, map(tuple, self.probs.T.tolist()), strict=True)) if self.languages else {}
-        self.known: dict[str, np.ndarray] = {}
+        # Row 0 is no piece, row 1 a character outside the vocabulary.
+        k = len(self.languages)
+        self.rows = np.vstack([np.zeros((1, k)), np.full((1, k), UNKNOWN), self.probs.T.reshape(-1, k)])
+        self.index = {p: i + 2 for i, p in enumerate(self.pieces)} if self.languages else {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.logs = np.empty((1024, len(self.languages)))
 
     def __getstate__(self) -> tuple:
         return self.languages, self.pieces, self.probs
@@ -116,51 +125,78 @@ class LanguageModel:
         self.reset()
 
     def word(self, word: str) -> np.ndarray:
-        """Log-probability of "▁" + word in every language."""
-        text, k, table = "▁" + word, len(self.languages), self.table
-        unknown = (UNKNOWN,) * k
-        fore: list[list[float]] = [[1.0] * k]
-        logs = [0.0] * k
+        """Log-probability of "▁" + word in every language; rescaled on the way, for words of any length."""
+        text, k = "▁" + word, len(self.languages)
+        fore = np.zeros((MAX_PIECE + 1, k))  # a ring of the last sums
+        fore[0] = 1
+        logs = np.zeros(k)
         for j in range(1, len(text) + 1):
-            now = [0.0] * k
+            starts = range(max(0, j - MAX_PIECE), j)
+            found = [self.index.get(text[i:j], int(i == j - 1)) for i in starts]
+            used = [(i % (MAX_PIECE + 1), r) for i, r in zip(starts, found, strict=True) if r]
+            fore[j % (MAX_PIECE + 1)] = (fore[[u[0] for u in used]] * self.rows[[u[1] for u in used]]).sum(0)
+            if j % _RESCALE == 0:
+                top = fore.max(0)
+                top[top == 0] = 1e-300
+                logs += np.log(top)
+                fore /= top
+        return logs + np.log(np.maximum(fore[len(text) % (MAX_PIECE + 1)], 1e-300))
+
+    def short_words(self, words: list[str]) -> np.ndarray:
+        """The same for words of one length, at most ``SHORT``, all at once and without rescaling."""
+        texts = ["▁" + w for w in words]
+        size, get = len(texts[0]), self.index.get
+        fore = [np.ones((len(texts), len(self.languages)))]
+        for j in range(1, size + 1):
+            now = np.zeros_like(fore[0])
             for i in range(max(0, j - MAX_PIECE), j):
-                p = table.get(text[i:j])
-                if p is None:
-                    if i < j - 1:
-                        continue
-                    p = unknown
-                f = fore[i]
-                for x in range(k):
-                    now[x] += f[x] * p[x]
+                row = np.array([get(t[i:j], 0) for t in texts])
+                if i == j - 1:
+                    row[row == 0] = 1
+                at = np.flatnonzero(row)
+                if len(at):
+                    now[at] += fore[i][at] * self.rows[row[at]]
             fore.append(now)
-            if j % _RESCALE == 0:
-                for x in range(k):
-                    top = max(f[x] for f in fore[-MAX_PIECE:]) or 1e-300
-                    logs[x] += math.log(top)
-                    for f in fore[-MAX_PIECE:]:
-                        f[x] /= top
-        return np.array([lg + math.log(max(f, 1e-300)) for lg, f in zip(logs, fore[-1], strict=True)])
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
-            return "und", 0.0
-        words = Counter(text.lower().split())
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        total = np.zeros(len(self.languages))
-        n = 0
-        for w, c in words.items():
-            row = known.get(w)
-            if row is None:
-                row = self.word(w)
-                if len(w) <= 64:
-                    known[w] = row
-            total += row * c if c > 1 else row
-            n += c
-        best = int(np.argmax(total))
-        z = np.exp((total - total[best]) / math.sqrt(n))
-        return self.languages[best], float(z[best] / z.sum())
+        return np.log(np.maximum(fore[-1], 1e-300))
+
+    def remember(self, words: list[str], logs: np.ndarray) -> None:
+        n = len(self.known)
+        if n + len(words) > len(self.logs):
+            self.logs = np.vstack([self.logs[:n], np.empty((n + len(words), len(self.languages)))])
+        self.logs[n : n + len(words)] = logs
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def learn(self, missing: set[str]) -> list[str]:
+        """Remembers the words; returns the long ones, which came last and are to be taken out again."""
+        by_size: dict[int, list[str]] = defaultdict(list)
+        for w in missing:
+            by_size[min(len(w), SHORT + 1)].append(w)
+        for size, words in sorted(by_size.items()):
+            for at in range(0, len(words), 4096):
+                part = words[at : at + 4096]
+                self.remember(part, self.short_words(part) if size <= SHORT else np.array([self.word(w) for w in part]))
+        return by_size.get(SHORT + 1, [])
+
+    def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = []
+        for a, b in text_batches(texts):
+            split = [t.lower().split() if t and self.languages and _LETTER.search(t) else [] for t in texts[a:b]]
+            missing = set().union(*split).difference(self.known)
+            if len(self.known) + len(missing) > CACHE_WORDS:
+                self.forget()
+                missing = set().union(*split)
+            long = self.learn(missing)
+            for words in split:
+                if not words:
+                    out.append(("und", 0.0))
+                    continue
+                total = self.logs[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(0)
+                best = int(np.argmax(total))
+                z = np.exp((total - total[best]) / math.sqrt(len(words)))
+                out.append((self.languages[best], float(z[best] / z.sum())))
+            for w in long:
+                del self.known[w]
+        return out
 
 
 def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, pieces: list[str]) -> LanguageModel:
@@ -201,7 +237,7 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shared.value.score(t.as_py()) for t in batch.column(2)]
+            got = shared.value.scores(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))

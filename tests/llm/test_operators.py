@@ -221,6 +221,10 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(np.exp(model.word("aa")[0]), 0.3 * 0.1 * 0.1 + 0.3 * 0.2 + 0.4 * 0.1)
     long = model.word("a" * 500)[0]
     assert np.isfinite(long) and long < -100
+    for word in ("", "a", "aa", "é", "aéa", "a" * 23):
+        assert np.allclose(model.word(word), model.short_words([word, word])[1])
+    texts = [None, "a aa", "12 !", "aa " + "b" * 500, "a aa"]
+    assert model.scores(texts) == [model.scores([t])[0] for t in texts] and all(len(w) <= lang_id.SHORT for w in model.known)
 
 
 def test_mixing_meets_its_targets(spark, docs, none):
