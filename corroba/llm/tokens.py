@@ -15,16 +15,16 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
-
-from corroba.llm.common import text_batches
+from array import array
 
 #: Chunks that one Python worker remembers for a vocabulary; when it is full the memory starts anew.
 CACHE_CHUNKS = 1_000_000
 #: Longer chunks are encoded and not remembered.
 CACHE_CHARS = 48
 
+_MARKS = (",", ".")
+#: Letters and digits below it stay one letter or digit when lowered, in every Unicode version.
+_LATIN_END = "\u0100"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
 
 
@@ -50,6 +50,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(("", *_MARKS), [b"", *self.ids(list(_MARKS))], strict=True))
 
     def chunks(self, text: str) -> list[str]:
         if self.drops_space:
@@ -65,20 +66,46 @@ class Encoder:
             out += [" " + w for w in words[1:]]
         return out
 
+    def ids(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def learn(self, missing: set[str]) -> None:
+        """Remembers chunks by their stems; the library runs once a distinct stem.
+
+        Both pre-tokenizers cut between a letter or digit and a comma or full
+        stop that ends the chunk. The vocabulary that drops white space lowers
+        all letters first, so that ASCII chunks may be lowered here.
+        """
+        known, stems = self.known, {}
+        for w in missing:
+            mark = w[-1:] if w[-1:] in _MARKS and w[-2:-1].isalnum() and w[-2] < _LATIN_END else ""
+            stem = w[: len(w) - len(mark)]
+            stems[w] = (stem.lower() if self.drops_space and stem.isascii() else stem), mark
+        new = list({stem for stem, _ in stems.values()}.difference(known))
+        known.update(zip(new, self.ids(new), strict=True))
+        for w, (stem, mark) in stems.items():
+            known[w] = known[stem] + self.marks[mark]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for a, b in text_batches(texts):
-            split = [self.chunks(t) if t else [] for t in texts[a:b]]
-            missing = set().union(*split).difference(self.known)
-            if len(self.known) + len(missing) > CACHE_CHUNKS:
-                self.known.clear()
-                missing = set().union(*split)
-            order = list(missing)
-            ids = dict(zip(order, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(order, add_special_tokens=False)), strict=True))
-            self.known.update((k, v) for k, v in ids.items() if len(k) <= CACHE_CHARS)
-            every = self.known if all(len(k) <= CACHE_CHARS for k in ids) else self.known | ids
-            out += [b"".join(map(every.__getitem__, words)) for words in split]
+        known = self.known
+        for text in texts:
+            words = self.chunks(text) if text else []
+            got = list(map(known.get, words))
+            if None in got:
+                missing = {w for w, ids in zip(words, got, strict=True) if ids is None}
+                if len(known) + 2 * len(missing) > CACHE_CHUNKS:
+                    known.clear()
+                    missing = set(words)
+                self.learn(missing)
+                got = list(map(known.__getitem__, words))
+                for w in missing:
+                    if len(w) > CACHE_CHARS:
+                        known.pop(w, None)
+                        for stem in (w[:-1], w.lower(), w[:-1].lower()):
+                            known.pop(stem, None)
+            out.append(b"".join(got))
         return out
 
 

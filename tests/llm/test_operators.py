@@ -92,6 +92,7 @@ def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     more = [*TEXTS, "  a b\n\n c\t\td ", "a \n b", "x\n", "\nfoo bar", "hi\x1cthere\x85a\xa0b c's d", "a  b", " ", "y" * 300 + "\n" + "z w"]
+    more += ["a, A. 1, é, É. x!, .. , . word's. b,", "LONG" * 30 + ".", "². x J\u030c. J\u030c,", "\u0130, ΑΣ. ß.", "a,\nb.\n\nc,", " ,x .y", "</w>. <|endoftext|>,", "a\u0301, b", "日本, 日本. _,a_,"]
     for name, drops in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
         t = Tokenizer.from_file(tokens.vocabulary(name))
         t.encode_special_tokens = True
