@@ -42,8 +42,10 @@ def fit_nonnegative(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 250
     w, m, v = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
     p1, u1 = np.hstack([p, np.ones((len(p), 1), np.float32)]), np.hstack([u, np.ones((len(u), 1), np.float32)])
     for t in range(1, steps + 1):
-        gp, gu = _sigmoid(p1 @ w.astype(np.float32)), _sigmoid(u1 @ w.astype(np.float32))
-        negative = -np.log1p(-np.clip(gu, 0, 1 - 1e-9)).mean() + prior * np.log1p(-np.clip(gp, 0, 1 - 1e-9)).mean()
+        zp, zu = (x @ w.astype(np.float32) for x in (p1, u1))
+        gp, gu = _sigmoid(zp), _sigmoid(zu)
+        # log(1 + exp(z)) stays finite where a sigmoid is 1 in single precision.
+        negative = np.logaddexp(0, zu.astype(float)).mean() - prior * np.logaddexp(0, zp.astype(float)).mean()
         positive = -prior * ((1 - gp) @ p1) / len(p)
         other = (gu @ u1) / len(u) - prior * (gp @ p1) / len(p)
         grad = positive + other if negative >= 0 else -other

@@ -216,6 +216,16 @@ def test_classifiers_learn_and_stand_awkward_rows(spark, docs, none):
     assert lang_id.predict_languages(none).collect() == []
 
 
+@pytest.mark.filterwarnings("error")
+def test_nonnegative_risk_stays_finite_on_saturated_scores():
+    rng = np.random.RandomState(3)
+    p = np.zeros((400, quality.WIDTH), np.float32)
+    p[:, :50] = 8
+    u = np.vstack([p[:350], -p[:50]]) + rng.rand(400, quality.WIDTH).astype(np.float32) / 100
+    w, b = quality.fit_nonnegative(p, u, 0.87)
+    assert np.isfinite(w).all() and (p[0] @ w + b) > 1 and (-p[0] @ w + b) < -1
+
+
 def test_forward_sums_all_segmentations():
     model = lang_id.LanguageModel(["x"], ["a", "aa", "▁", "▁a"], np.array([[0.1, 0.2, 0.3, 0.4]]))
     # ▁|a|a + ▁|aa + ▁a|a
