@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Spark's regular expression for the white space that the text contracts name.
 SPACE = r"[\x20\x09-\x0D]+"
 
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,10 +35,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors. Batches to Python hold at most ``BATCH_ROWS`` rows meanwhile, as texts can be long."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = int(spark.conf.get(_BATCH))
+    spark.conf.set(_BATCH, str(min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, str(before))
     return spark.read.schema(df.schema).parquet(path)
 
 
