@@ -6,7 +6,7 @@ spaces and line feeds that stand between two characters that are not white
 space; every chunk is encoded by the ``tokenizers`` library itself and its ids
 are remembered, so the library runs once a distinct chunk and not once a word.
 The ids equal those of ``Tokenizer.encode(text, add_special_tokens=False)`` on
-the whole text (tests/llm/test_tokens.py compares them).
+the whole text (tests/llm/test_operators.py compares them).
 
 Strings of special tokens inside a text are ordinary text. A null text is empty.
 """
