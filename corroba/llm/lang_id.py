@@ -109,7 +109,7 @@ class LanguageModel:
     def reset(self) -> None:
         # Row 0 is no piece, row 1 a character outside the vocabulary.
         k = len(self.languages)
-        self.rows = np.vstack([np.zeros((1, k)), np.full((1, k), UNKNOWN), self.probs.T.reshape(-1, k)])
+        self.rows = np.vstack([np.zeros((1, k)), np.full((1, k), UNKNOWN), self.probs.T.reshape(len(self.pieces), k)])
         self.index = {p: i + 2 for i, p in enumerate(self.pieces)} if self.languages else {}
         self.forget()
 
