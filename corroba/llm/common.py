@@ -35,7 +35,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors. Batches to Python hold at most ``BATCH_ROWS`` rows meanwhile, as texts can be long."""
+    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors. Batches to Python hold at most ``BATCH_ROWS`` rows meanwhile, as texts can be long. The driver then collects its garbage, on which Spark's cleaner drops the shuffle files and broadcasts that the table no longer needs."""
     spark = df.sparkSession
     path = new_path(spark, name)
     before = int(spark.conf.get(_BATCH))
@@ -44,6 +44,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_BATCH, str(before))
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
