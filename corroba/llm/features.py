@@ -76,13 +76,17 @@ def feature_rows(rows: DataFrame, columns: list[str], text_col: str) -> DataFram
 def small_sample(rows: DataFrame, id_col: str, text_col: str, n: int, seed: int, ids: DataFrame | None = None) -> np.ndarray:
     """Features of the whole texts of at most ``n`` rows, those with the smallest hash of their id; in id order, so that fits repeat. ``ids``: the ids to choose from, else those of ``rows``; texts are not shuffled."""
     chosen = (rows if ids is None else ids).where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(n).distinct()
-    found = feature_rows(rows.join(F.broadcast(chosen), id_col, "left_semi"), [id_col], text_col)
-    got = sorted((r[0], zlib.crc32(r.x), bytes(r.x)) for r in found.limit(2 * n).toLocalIterator())
-    return np.frombuffer(b"".join(g[2] for g in got), np.float32).reshape(-1, WIDTH)
+    found = feature_rows(rows.join(F.broadcast(chosen), id_col, "left_semi"), [id_col], text_col).limit(2 * n)
+    x, keys = np.empty((2 * n, WIDTH), np.float32), []
+    for r in found.repartition(max(1, n // 500)).toLocalIterator():  # parts of a few MB: the driver holds one beside the array
+        x[len(keys)] = np.frombuffer(r.x, np.float32)
+        keys.append((r[0], zlib.crc32(r.x), len(keys)))
+    rows.sparkSession._jvm.System.gc()
+    return x[[k[2] for k in sorted(keys)]]
 
 
 class Scale:
-    """Centred and scaled features; the shape columns get unit variance."""
+    """Centres and scales features in place; the shape columns get unit variance."""
 
     def __init__(self, x: np.ndarray):
         self.mean = x.mean(0) if len(x) else np.zeros(WIDTH, np.float32)
@@ -91,4 +95,6 @@ class Scale:
             self.by[BUCKETS:] = 1 / np.maximum(x[:, BUCKETS:].std(0), 1e-3)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) * self.by, -8, 8)
+        x -= self.mean
+        x *= self.by
+        return np.clip(x, -8, 8, out=x)

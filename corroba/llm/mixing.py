@@ -55,9 +55,10 @@ def fit_domains(labelled: DataFrame, id_col: str, text_col: str, domain_col: str
     if not counts:
         return DomainModel(["all"], np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32), np.zeros((WIDTH + 1, 1), np.float32))
     xs = [small_sample(labelled.where(F.col(domain_col).cast("string") == c.d), id_col, text_col, per_domain, 3) for c in counts]
-    scale = Scale(np.vstack(xs))
-    x = np.vstack([np.hstack([scale(a), np.ones((len(a), 1), np.float32)]) for a in xs])
     y = np.repeat(np.arange(len(xs)), [len(a) for a in xs])
+    x = np.vstack(xs)
+    scale = Scale(x)
+    x = np.hstack([scale(x), np.ones((len(x), 1), np.float32)])
     share = np.array([c.n for c in counts], float)
     weight = np.concatenate([np.full(len(a), c.n / share.sum() / max(1, len(a))) for a, c in zip(xs, counts, strict=True)]).astype(np.float32)
     w = np.zeros((WIDTH + 1, len(xs)), np.float32)

@@ -40,14 +40,17 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit_nonnegative(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 250, rate: float = 0.02, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, by Adam on all rows."""
     w, m, v = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
-    p1, u1 = np.hstack([p, np.ones((len(p), 1), np.float32)]), np.hstack([u, np.ones((len(u), 1), np.float32)])
+
+    def with_bias(g: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.append(g @ x, g.sum()) / len(x)
+
     for t in range(1, steps + 1):
-        zp, zu = (x @ w.astype(np.float32) for x in (p1, u1))
+        zp, zu = (x @ w[:-1].astype(np.float32) + np.float32(w[-1]) for x in (p, u))
         gp, gu = _sigmoid(zp), _sigmoid(zu)
         # log(1 + exp(z)) stays finite where a sigmoid is 1 in single precision.
         negative = np.logaddexp(0, zu.astype(float)).mean() - prior * np.logaddexp(0, zp.astype(float)).mean()
-        positive = -prior * ((1 - gp) @ p1) / len(p)
-        other = (gu @ u1) / len(u) - prior * (gp @ p1) / len(p)
+        positive = -prior * with_bias(1 - gp, p)
+        other = with_bias(gu, u) - prior * with_bias(gp, p)
         grad = positive + other if negative >= 0 else -other
         grad = grad + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
