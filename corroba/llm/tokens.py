@@ -17,7 +17,7 @@ import os
 import re
 from array import array
 
-#: Chunks, and words after a space, that one Python worker remembers for a vocabulary; a full memory starts anew.
+#: Chunks that one Python worker remembers for a vocabulary; when it is full the memory starts anew.
 CACHE_CHUNKS = 1_000_000
 #: Longer chunks are encoded and not remembered.
 CACHE_CHARS = 48
@@ -25,8 +25,6 @@ CACHE_CHARS = 48
 _MARKS = (",", ".")
 #: Letters and digits below it stay one letter or digit when lowered, in every Unicode version.
 _LATIN_END = "\u0100"
-#: White space other than a space or a line feed.
-_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
 
 
@@ -52,77 +50,47 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
         self.known: dict[str, bytes] = {}
-        #: By the word alone: ids of a space and a word, or of a line feed and the word after it (the key has the line feed).
-        self.after_space: dict[str, bytes] = {}
         self.marks = dict(zip(("", *_MARKS), [b"", *self.ids(list(_MARKS))], strict=True))
 
     def chunks(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ") if self.drops_space else _CUT.split(text)
-
-    @staticmethod
-    def is_plain(text: str) -> bool:
-        """Whether words stand between single spaces or line feeds, without other white space."""
-        if not text or text[0].isspace() or text[-1].isspace() or any(pair in text for pair in ("  ", "\n\n", " \n", "\n ")):
-            return False
-        ascii_only = text.isascii()
-        return not any(c in text for c in _OTHER_SPACE if c < "\x80" or not ascii_only)
-
-    def encode_plain(self, text: str) -> bytes:
-        """The ids of a plain text, looked up by its words."""
-        known, spaced = self.known, self.after_space
-        first, *words = text.replace("\n", " \n").split(" ")
-        head, got = known.get(first), list(map(spaced.get, words))
-        if head is None or None in got:
-            missing = {w for w, ids in zip(words, got, strict=True) if ids is None}
-            if len(spaced) + len(missing) > CACHE_CHUNKS:
-                spaced.clear()
-                missing = set(words)
-            stems = {w: self.stem(w[1:] if w[0] == "\n" else " " + w) for w in missing}
-            self.learn_stems({first, "\n", *(stem for stem, _ in stems.values())})
-            line, marks = known["\n"], self.marks
-            for w, (stem, mark) in stems.items():
-                spaced[w] = line + known[stem] + marks[mark] if w[0] == "\n" else known[stem] + marks[mark]
-            head, got = known[first], list(map(spaced.__getitem__, words))
-            for w in filter(self.is_long, missing):
-                known.pop(stems[w][0], None)
-                del spaced[w]
-            if self.is_long(first):
-                known.pop(first, None)
-        return head + b"".join(got)
-
-    @staticmethod
-    def is_long(chunk: str) -> bool:
-        return len(chunk) > CACHE_CHARS
+        if self.drops_space:
+            return text.replace("\n", " ").split(" ")
+        out: list[str] = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            if not line or len(words) != len(line.split()) or line[0].isspace() or line[-1].isspace():
+                return _CUT.split(text)
+            if out:
+                out.append("\n")
+            out.append(words[0])
+            out += [" " + w for w in words[1:]]
+        return out
 
     def ids(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def stem(self, chunk: str) -> tuple[str, str]:
-        """The chunk without its last mark, and the mark.
+    def learn(self, missing: set[str]) -> None:
+        """Remembers chunks by their stems; the library runs once a distinct stem.
 
         Both pre-tokenizers cut between a letter or digit and a comma or full
         stop that ends the chunk. The vocabulary that drops white space lowers
         all letters first, so that ASCII chunks may be lowered here.
         """
-        mark = chunk[-1:] if chunk[-1:] in _MARKS and chunk[-2:-1].isalnum() and chunk[-2] < _LATIN_END else ""
-        stem = chunk[:-1] if mark else chunk
-        return (stem.lower() if self.drops_space and stem.isascii() else stem), mark
-
-    def learn_stems(self, stems: set[str]) -> None:
-        """Remembers the ids of stems; the library runs once a distinct stem."""
-        if len(self.known) + len(stems) > CACHE_CHUNKS:
-            self.known.clear()
-        new = list(stems.difference(self.known))
-        self.known.update(zip(new, self.ids(new), strict=True))
+        known, stems = self.known, {}
+        for w in missing:
+            mark = w[-1:] if w[-1:] in _MARKS and w[-2:-1].isalnum() and w[-2] < _LATIN_END else ""
+            stem = w[: len(w) - len(mark)]
+            stems[w] = (stem.lower() if self.drops_space and stem.isascii() else stem), mark
+        new = list({stem for stem, _ in stems.values()}.difference(known))
+        known.update(zip(new, self.ids(new), strict=True))
+        for w, (stem, mark) in stems.items():
+            known[w] = known[stem] + self.marks[mark]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         known = self.known
         for text in texts:
-            if not self.drops_space and text and self.is_plain(text):
-                out.append(self.encode_plain(text))
-                continue
             words = self.chunks(text) if text else []
             got = list(map(known.get, words))
             if None in got:
@@ -130,14 +98,13 @@ class Encoder:
                 if len(known) + 2 * len(missing) > CACHE_CHUNKS:
                     known.clear()
                     missing = set(words)
-                stems = {w: self.stem(w) for w in missing}
-                self.learn_stems({stem for stem, _ in stems.values()})
-                for w, (stem, mark) in stems.items():
-                    known[w] = known[stem] + self.marks[mark]
+                self.learn(missing)
                 got = list(map(known.__getitem__, words))
-                for w in filter(self.is_long, missing):
-                    known.pop(w, None)
-                    known.pop(stems[w][0], None)
+                for w in missing:
+                    if len(w) > CACHE_CHARS:
+                        known.pop(w, None)
+                        for stem in (w[:-1], w.lower(), w[:-1].lower()):
+                            known.pop(stem, None)
             out.append(b"".join(got))
         return out
 
