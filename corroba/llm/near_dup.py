@@ -3,7 +3,7 @@
 1. Every text becomes its set of 5-word shingle hashes; the ``k`` smallest
    hashes are its sketch (one hash function). Equal sets form one class.
 2. The ``index_k`` smallest values of every class go to inverted lists. A pair
-   at the threshold shares at least ``floor_shared`` of them but for a chance
+   at the threshold shares at least ``chance_floor`` of them but for a chance
    under 1e-9 (sets that fit in the sketch have the exact floor), so a class
    that shares fewer values with the whole corpus leaves at once.
 3. Of the classes that are left, the ``deep_k`` smallest values (most sets whole)
@@ -33,6 +33,7 @@ and text columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,22 @@ from corroba.llm.components import connected_components
 from corroba.llm.shingles import common, set_digest, shingle_set
 
 _BIAS = np.uint64(1 << 63)
+#: Chances that a pair at the threshold shares fewer values than the floors of the index and of the deep lists.
+INDEX_MISS, DEEP_MISS = 5e-10, 1.5e-11
+
+
+def chance_floor(k: int, percent: int, miss: float) -> int:
+    """The most values that two bottom-k sketches of a pair at the threshold share but for a chance under ``miss``: a binomial quantile, as each of the k smallest values of the union lies in both sets with the chance of the Jaccard."""
+    p, below = percent / 100, 0.0
+    if p >= 1:
+        return k
+    for shared in range(k + 1):
+        below += math.exp(math.lgamma(k + 1) - math.lgamma(shared + 1) - math.lgamma(k - shared + 1) + shared * math.log(p) + (k - shared) * math.log1p(-p))
+        if below >= miss:
+            break
+    if shared < 1:
+        raise ValueError(f"sketches of {k} values are too small for a Jaccard of {percent} hundredths")
+    return shared
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -197,16 +214,15 @@ def near_duplicates(
     percent: int = 85,
     k: int = 64,
     index_k: int = 32,
-    floor_shared: int = 12,
     deep_k: int = 1024,
-    deep_floor: int = 790,
     block: int = 512,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row a row of ``docs``.
 
-    ``percent``: least Jaccard, in hundredths; the floors belong to 85.
+    ``percent``: least Jaccard, in hundredths; the floors follow from it.
     ``block``: classes of a block; a task holds the sets of two.
     """
+    floor_shared, deep_floor = chance_floor(index_k, percent, INDEX_MISS), chance_floor(deep_k, percent, DEEP_MISS)
     rows = stored(sketches(docs, id_col, text_col, words, k), "sketches")
     classes = stored(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
 

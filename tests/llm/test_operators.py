@@ -65,6 +65,20 @@ def test_near_duplicates_in_blocks(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: i // 30 * 30 for i in range(120)}
 
 
+def test_near_duplicates_at_another_threshold(spark):
+    """Parts of long texts at 0.80: of these pairs the 1024 smallest values share less than the floor that 85 has. The last pair lies just below 0.80."""
+    assert [near_dup.chance_floor(32, 85, near_dup.INDEX_MISS), near_dup.chance_floor(1024, 85, near_dup.DEEP_MISS)] == [12, 790]
+    rows = []
+    for s, size in ((32, 8004), (74, 8004), (220, 8004), (263, 8004), (264, 8003)):
+        words = [f"s{s}w{i}" for i in range(10004)]
+        whole, part = shingles.shingle_set(" ".join(words)), shingles.shingle_set(" ".join(words[:size]))
+        assert (5 * shingles.common(whole, part) >= 4 * len(whole)) == (size == 8004)
+        assert s == 264 or shingles.common(whole[:1024], part[:1024]) < 790
+        rows += [(2 * s, " ".join(words)), (2 * s + 1, " ".join(words[:size]))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {k: k if k == 529 else k // 2 * 2 for k, _ in rows}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (5, 5)], "a long, b long")
     assert {r.node: r.component for r in connected_components(e).collect()} == {**{i: 0 for i in range(21)}, 30: 30, 31: 30}
