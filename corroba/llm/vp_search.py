@@ -6,11 +6,14 @@ At a node with vantage point v and radius m, a query at distance d from v needs
 the far side only if ``|d - m| <= reach / factor``, where reach is the distance
 of its k-th nearest so far. Factor one prunes what cannot hold a nearer vector,
 so the search is exact; a larger factor prunes more. Queries go down the tree
-in blocks. The winners of all shards are merged by query; their scores are the
-cosines of the original vectors in double precision.
+in blocks. Every point met within the k-th distance, and what rounding may add
+to it, is kept, however many tie there; their scores are the cosines of the
+original vectors in double precision. The winners of all shards are merged by
+query.
 
 Equal vectors of a shard are one point of its tree with the k + 1 smallest of
-their ids; no other copy can be among a query's k nearest, so this is exact.
+their ids; no other copy can be among a query's k nearest, so this is exact. A
+point that has only the query's own id does not count among the k.
 
 Vectors that are null, zero, or hold null or non-finite components take no part.
 Only vectors of one dimension are compared. Ties go to the smaller id. Repeated
@@ -30,7 +33,6 @@ from pyspark.sql import functions as F
 
 #: Vectors of a leaf.
 LEAF = 64
-_SLACK = 1e-9
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,6 +43,9 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class VantageTree:
     def __init__(self, unit: np.ndarray, leaf: int = LEAF, seed: int = 7):
         self.unit, self.leaf = unit, leaf
+        # Twice what the cosine of two unit vectors and the score of their originals may differ by, and what that makes of distances.
+        self.slack = 8 * (unit.shape[1] + 8) * np.finfo(float).eps
+        self.reach_slack = 4 * np.sqrt(2 * self.slack)
         self.draw = np.random.RandomState(seed)
         self.root = self._build(np.arange(len(unit)))
 
@@ -59,37 +64,44 @@ class VantageTree:
             return rows  # no radius parts them
         return vantage, radius, self._build(rest[inside]), self._build(rest[~inside])
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each unit query the k nearest points and their distances; -1 where there are fewer."""
-        self.q = queries
-        self.best = np.full((len(queries), k), np.inf)
-        self.which = np.full((len(queries), k), -1)
+    def search(self, queries: np.ndarray, k: int, factor: float, names: np.ndarray, ids: np.ndarray, single: np.ndarray) -> list[np.ndarray]:
+        """For each unit query all points that may be among its k nearest, ties of the k-th included; points with a ``single`` id, the query's name, are none."""
+        self.q, self.names, self.ids, self.single = queries, names, ids, single
+        self.best = np.full((len(queries), k), -np.inf)
         self.factor = factor
+        self.met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self._visit(self.root, np.arange(len(queries)))
-        return self.which, self.best
-
-    def _offer(self, active: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
+        if not self.met:
+            return [np.zeros(0, int)] * len(queries)
+        asks, points, cosines = (np.concatenate(x) for x in zip(*self.met, strict=True))
+        fine = cosines >= self.best[asks, -1] - self.slack
+        asks, points = asks[fine], points[fine]
+        order = np.argsort(asks, kind="stable")
+        return np.split(points[order], np.searchsorted(asks[order], np.arange(1, len(queries))))
+
+    def _offer(self, active: np.ndarray, rows: np.ndarray, cosine: np.ndarray) -> None:
         k = self.best.shape[1]
-        both = np.concatenate([self.best[active], d], axis=1)
-        names = np.concatenate([self.which[active], np.broadcast_to(rows, d.shape)], axis=1)
-        keep = np.argsort(both, axis=1, kind="stable")[:, :k]
-        self.best[active] = np.take_along_axis(both, keep, 1)
-        self.which[active] = np.take_along_axis(names, keep, 1)
+        cosine = np.where(self.single[rows] & (self.ids[rows] == self.names[active][:, None]), -np.inf, cosine)
+        both = np.concatenate([self.best[active], cosine], axis=1)
+        self.best[active] = -np.partition(-both, k - 1, axis=1)[:, :k]
+        a, b = np.nonzero((cosine >= self.best[active, -1][:, None] - self.slack) & (cosine > -np.inf))
+        self.met.append((active[a], rows[b], cosine[a, b]))
 
     def _visit(self, node, active: np.ndarray) -> None:
         if not len(active):
             return
         if isinstance(node, np.ndarray):
             if len(node):
-                self._offer(active, node, np.sqrt(np.maximum(0, 2 - 2 * (self.q[active] @ self.unit[node].T))))
+                self._offer(active, node, self.q[active] @ self.unit[node].T)
             return
         vantage, radius, inner, outer = node
-        d = np.sqrt(np.maximum(0, 2 - 2 * (self.q[active] @ self.unit[vantage])))
-        self._offer(active, np.array([vantage]), d[:, None])
+        cosine = self.q[active] @ self.unit[vantage]
+        d = np.sqrt(np.maximum(0, 2 - 2 * cosine))
+        self._offer(active, np.array([vantage]), cosine[:, None])
         near = d <= radius
         self._visit(inner, active[near])
         self._visit(outer, active[~near])
-        reach = self.best[active, -1] / self.factor + _SLACK
+        reach = np.sqrt(np.maximum(0, 2 - 2 * (self.best[active, -1] - self.slack))) / self.factor + self.reach_slack
         self._visit(outer, active[near & (radius - d <= reach)])
         self._visit(inner, active[~near & (d - radius <= reach)])
 
@@ -108,13 +120,15 @@ class Shard:
         first = np.array([g[0] for g in self.groups])
         self.ids, self.vectors, self.k = ids, vectors, k
         self.norm = np.sqrt(dots(vectors, vectors))
+        single = np.array([len(g) == 1 for g in self.groups])
+        self.own = ids[first], single
         self.tree = VantageTree(vectors[first] / self.norm[first][:, None])
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, factor: float) -> Iterator[tuple[int, int, float]]:
         norms = np.sqrt(dots(queries, queries))
-        which, _ = self.tree.search(queries / norms[:, None], self.k + 4, factor)
-        for q, (name, row) in enumerate(zip(query_ids, which, strict=True)):
-            rows = np.concatenate([self.groups[g] for g in row if g >= 0])
+        found = self.tree.search(queries / norms[:, None], self.k, factor, query_ids, *self.own)
+        for q, (name, near) in enumerate(zip(query_ids, found, strict=True)):
+            rows = np.concatenate([self.groups[g] for g in near]) if len(near) else near
             rows = rows[self.ids[rows] != name]
             score = dots(self.vectors[rows], queries[q : q + 1]) / (norms[q] * self.norm[rows])
             for at in np.lexsort((self.ids[rows], -score))[: self.k]:

@@ -215,6 +215,26 @@ def test_neighbours_are_exact_at_factor_one(spark):
     assert vp_search.nearest_neighbours(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("own", [0, 30])
+def test_neighbours_of_vectors_that_tie(spark, own):
+    """Signs: more different vectors tie at the k-th cosine than a query asks for. With ``own`` the nearest vectors of query 0 bear its own id."""
+    rng = np.random.RandomState(5)
+    v = np.where(rng.rand(2000, 64) < 0.5, -1.0, 1.0)
+    ids = np.arange(2000)
+    for i in range(own):
+        v[1950 + i] = v[0]
+        v[1950 + i, i] *= -1
+        ids[1950 + i] = 0
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in vp_search.nearest_neighbours(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    norm = np.sqrt(vp_search.dots(v, v))
+    for q in sorted(set(ids[ids % 50 == 0])):
+        pairs = {(float(s), int(c)) for a in np.flatnonzero(ids == q) for s, c in zip(vp_search.dots(v, v[a : a + 1]) / (norm[a] * norm), ids, strict=True) if c != q}
+        assert got[q] == [(c, s) for s, c in sorted(pairs, key=lambda p: (-p[0], p[1]))[:5]]
+
+
 def test_classifiers_learn_and_stand_awkward_rows(spark, docs, none):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
