@@ -5,10 +5,14 @@
    weights that restore the domains' shares. It gives every document posteriors
    p_i over the domains.
 2. With n_i tokens (words ``[^\\x20\\x09-\\x0D]+``), rates r_i are to make
-   S_d = sum_i r_i n_i p_id meet the targets T_d. The relative squares
-   sum_d (S_d - T_d)^2 / A_d, A_d being the tokens there are, are minimised over
+   S_d = sum_i r_i n_i p_id meet the targets T_d. The squares of S - T, in the
+   metric of the inverse of G = sum_i n_i p_i p_i', are minimised over
    r_i >= floor (0: nonnegative) by accelerated projected gradient, started from
    r_i = 1 and preconditioned by 1 / n_i, so rates depend on the posterior alone.
+   In this metric a small domain weighs like a large one and a step of size one
+   is safe. Steps end when each domain is within ``tolerance`` of its own target;
+   if the floor keeps that out of reach, when the worst domain gets no nearer or
+   after ``max_steps``, and then a warning names the totals that were reached.
    A rate is a function of p_i and of the few domain vectors that the steps had;
    so a step is one pass over the stored (n_i, p_i) that returns a sum for each
    domain, and only these sums reach the driver.
@@ -22,6 +26,7 @@ Repeated rows have equal rates. An empty table gives no rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +40,8 @@ from corroba.llm.features import WIDTH, Scale, small_sample, text_features
 
 #: More domains than this are an error: the model and the sums are held by the driver.
 MAX_DOMAINS = 200
+#: Steps without a nearer worst domain after which targets count as out of reach.
+PATIENCE = 10
 
 
 class DomainModel:
@@ -138,25 +145,40 @@ def fit_rates(known: DataFrame, domains: list[str], weights: dict[str, float] |
         return [], np.zeros(k), np.zeros(k), np.zeros(k)
     available, gram = first[:k], first[k:].reshape(k, k)
     target = target_totals(available, domains, weights, temper, floor >= 1)
-    scale = np.where(available > 0, 1 / np.maximum(available, 1e-9), 0)
-    size = 1 / max(1e-12, float(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)).max()))
+    inverse = _inverse(gram, available)
+    own = np.maximum(np.where(target > 0, target, available), 1e-9)
     steps: list[tuple[float, np.ndarray]] = []
-    reached, t = available, 1.0
-    for _ in range(max_steps):
-        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        momentum = (t - 1) / after if steps else 0.0
+    reached, t, square, errors = available, 1.0, np.inf, []
+    while True:
+        momentum = 0.0
         if steps:
-            sums = _sums(known, k, lambda n, p, s=list(steps), m=momentum: np.concatenate([(n * r) @ p for r in ahead_of(p, s, floor, m)]))
-            reached, ahead = sums[:k], sums[k:]
-            if np.abs(reached - target).max() <= tolerance * target.max():
-                break
-        else:
-            ahead = available
-        steps.append((momentum, np.round(size * scale * (ahead - target), 12)))
-        t = after
+            after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+            momentum, t = (t - 1) / after, after
+        sums = _sums(known, k, lambda n, p, s=list(steps), m=momentum: np.concatenate([(n * r) @ p for r in ahead_of(p, s, floor, m)])) if steps else np.tile(available, 2)
+        reached, ahead = sums[:k], sums[k:]
+        errors.append(float((np.abs(reached - target) / own).max()))
+        if errors[-1] <= tolerance:
+            break
+        if len(steps) >= max_steps or (len(errors) > 2 * PATIENCE and min(errors[-PATIENCE:]) > 0.99 * min(errors[:-PATIENCE])):
+            gaps = ", ".join(f"{d}: {r:.6g} of {x:.6g}" for d, r, x, o in zip(domains, reached, target, own, strict=True) if abs(r - x) > tolerance * o)
+            warnings.warn(f"mixing targets not met after {len(steps)} steps, tokens by domain: {gaps}", stacklevel=2)
+            break
+        before, square = square, float((reached - target) @ inverse @ (reached - target))
+        if square > before:  # overshot: start the momentum again
+            momentum, t, ahead = 0.0, 1.0, reached
+        steps.append((momentum, np.round(inverse @ (ahead - target), 12)))
     return steps, available, target, reached
 
 
+def _inverse(gram: np.ndarray, available: np.ndarray) -> np.ndarray:
+    """The inverse of ``gram``, without directions that hardly any token has."""
+    scale = np.where(available > 0, 1 / np.sqrt(np.maximum(available, 1e-9)), 0)
+    size, along = np.linalg.eigh(scale[:, None] * gram * scale)
+    along = along * scale[:, None]
+    fine = size > 1e-9
+    return (along[:, fine] / size[fine]) @ along[:, fine].T
+
+
 def copies_of(rate: Column, id_col: str, seed: int) -> Column:
     """Whole copies whose expectation is the rate."""
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / F.lit(1 << 30)
@@ -173,7 +195,7 @@ def mixing_rates(
     temper: float = 0.5,
     floor: float = 0.0,
     per_domain: int = 400,
-    max_steps: int = 25,
+    max_steps: int = 100,
     tolerance: float = 1e-3,
     seed: int = 11,
 ) -> DataFrame:
@@ -193,7 +215,7 @@ def mixing_rates(
     return out.select("doc_id", "n_tokens", "domain", "posterior", "rate", copies_of(F.col("rate"), "doc_id", seed).alias("copies"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", weights: dict[str, float] | None = None, temper: float = 0.5, floor: float = 0.0, per_domain: int = 400, max_steps: int = 25, tolerance: float = 1e-3, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", weights: dict[str, float] | None = None, temper: float = 0.5, floor: float = 0.0, per_domain: int = 400, max_steps: int = 100, tolerance: float = 1e-3, seed: int = 11) -> DataFrame:
     """``docs`` with every row as many times as its rate says, all columns kept."""
     model = fit_domains(labelled if labelled is not None else docs, id_col, text_col, domain_col, per_domain)
     known = stored(posteriors(docs, model, id_col, text_col), "posteriors")

@@ -282,3 +282,23 @@ def test_mixing_meets_its_targets(spark, docs, none):
     assert mixing.mixing_rates(none).collect() == []
     mixed = mixing.mix(docs, floor=1.0)
     assert mixed.columns == docs.columns and mixed.where("doc_id is not null").select("doc_id").distinct().count() == len({d[0] for d in DOCS}) - 1
+
+
+@pytest.mark.parametrize(("shares", "weights"), [([0.97, 0.0295, 0.0002, 0.0002, 0.0001], [0.9, 0.0985, 0.0005, 0.0005, 0.0005]), ([0.99989, 1e-4, 1e-5], None)])
+def test_mixing_meets_small_targets(spark, shares, weights):
+    rng = np.random.RandomState(4)
+    k = len(shares)
+    own = np.concatenate([np.arange(k), rng.choice(k, 30_000, p=shares)])
+    z = rng.randn(len(own), k) + np.log(shares)
+    z[np.arange(len(own)), own] += np.where(own > 0, 12, 6)
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    n = rng.randint(1, 2000, len(own))
+    domains = [f"d{i}" for i in range(k)]
+    known = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
+    wanted = dict(zip(domains, weights, strict=True)) if weights else None
+    steps, _, target, reached = mixing.fit_rates(known, domains, wanted, 0.5, 0.0, 100, 1e-3)
+    got = (n * mixing.replay(p, steps, 0.0)) @ p
+    assert (np.abs(got / target - 1) <= 1e-3 * (1 + 1e-6)).all() and np.allclose(got, reached)
+    with pytest.warns(UserWarning, match="targets not met.*d0: "):
+        mixing.fit_rates(known, domains, {"d1": 1.0}, 0.5, 0.9, 100, 1e-3)
