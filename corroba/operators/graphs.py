@@ -1,7 +1,7 @@
 """Iterative operators: closure, components, label refinement, layers, cancelling, version selection, unique prefixes.
 
-Every loop has a bound that is part of its meaning and stops when nothing
-changes. Rounds are cut by ``checkpoint`` in the folder of ``spark.checkpoint.dir``.
+Every loop stops when nothing changes. Bounds are part of the meaning of
+``refine`` and ``unique_prefixes``; elsewhere reaching one is an error. Rounds are cut by ``checkpoint`` in the folder of ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -22,17 +22,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, src: str, dst: str, max_depth: int) -> DataFrame:
-    """(src, dst, depth): the least number of steps, at most ``max_depth``; cycles end by the seen set."""
+def closure(edges: DataFrame, src: str, dst: str, max_depth: int = 64) -> DataFrame:
+    """(src, dst, depth): the least number of steps; more than ``max_depth`` are an error. Cycles end by the seen set."""
     step = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
     seen = frontier = cut(step.withColumn("depth", F.lit(1)))
-    for depth in range(2, max_depth + 1):
+    for depth in range(2, max_depth + 2):
         nxt = frontier.select("src", F.col("dst").alias("mid")).join(step.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         frontier = cut(nxt.join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+    raise RuntimeError(f"closure has paths of more than {max_depth} steps")
 
 
 def components(nodes: DataFrame, node: str, edges: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFrame:
@@ -65,18 +65,18 @@ def refine(nodes: DataFrame, edges: DataFrame, rounds: int, name: Column) -> Dat
     return label
 
 
-def layers(edges: DataFrame, max_rounds: int) -> DataFrame:
-    """(node, layer): nodes whose targets all lie in earlier layers; nodes on or before a cycle are left out. edges: src, dst."""
+def layers(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(node, layer): nodes whose targets all lie in earlier layers; nodes on or before a cycle are left out. More than ``max_rounds`` layers are an error. edges: src, dst."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     placed = cut(nodes.join(edges, nodes.node == edges.src, "left_anti").withColumn("layer", F.lit(0)))
-    for k in range(1, max_rounds + 1):
+    for k in range(1, max_rounds + 2):
         waiting = edges.join(placed.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("src").alias("node"))
         fresh = nodes.join(placed, "node", "left_anti").join(waiting, "node", "left_anti")
         fresh = cut(fresh.withColumn("layer", F.lit(k)))
         if fresh.isEmpty():
-            break
+            return placed
         placed = placed.unionByName(fresh)
-    return placed
+    raise RuntimeError(f"more than {max_rounds} layers")
 
 
 def cancel(moves: DataFrame, constraints: DataFrame, max_rounds: int = 64) -> DataFrame:

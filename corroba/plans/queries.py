@@ -363,7 +363,7 @@ SELECT s AS src, d AS dst, min(depth) AS depth FROM c GROUP BY ALL
 """)
 def closure_depth(spark, d):
     e = t(spark, d, "part").selectExpr("p_partkey s", "p_partkey div 3 d").where("d > 0")
-    return graphs.closure(e, "s", "d", 12)
+    return graphs.closure(e, "s", "d")
 
 
 @query("""
@@ -404,7 +404,7 @@ def _layers_sql(rounds: int) -> str:
 @query(_layers_sql(10))
 def topo_layers(spark, d):
     e = graphs.cut(t(spark, d, "part").where("p_partkey > 0").selectExpr("p_partkey src", "case when p_partkey % 50 = 49 then p_partkey else p_partkey div 4 end dst"))
-    return graphs.layers(e, 10)
+    return graphs.layers(e)
 
 
 def _select_sql(rounds: int) -> str:

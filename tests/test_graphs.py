@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corroba.operators import graphs, joins, votes
-from corroba.plans.queries import short_unique_names
+from corroba.plans.queries import closure_depth, short_unique_names, topo_layers
 
 
 def sequential(items):
@@ -35,6 +35,28 @@ def test_closure_of_a_cycle_ends(spark):
     assert got == {(1, 2): 1, (2, 3): 1, (3, 1): 1, (4, 4): 1, (1, 3): 2, (2, 1): 2, (3, 2): 2, (1, 1): 3, (2, 2): 3, (3, 3): 3}
 
 
+def test_deep_keys_are_not_left_out(spark, tmp_path):
+    """Chains of 13 and 14 steps: a part table with large keys, beyond the rounds that the SQL is unrolled to."""
+    def chain(key, by):
+        return [key // by**i for i in range(20) if key // by**i]
+
+    deep, long = chain(4**13 + 1, 4), chain(3**13, 3)
+    for name, keys in (("deep", deep), ("long", long)):
+        spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / name / "part.parquet"))
+    assert {r.node: r.layer for r in topo_layers(spark, str(tmp_path / "deep")).collect()} == {k: i for i, k in enumerate([0, *deep[::-1]])}
+    want = {(a, b): j - i for i, a in enumerate(long) for j, b in enumerate(long) if i < j}
+    assert {(r.src, r.dst): r.depth for r in closure_depth(spark, str(tmp_path / "long")).collect()} == want
+
+
+def test_layers_and_closure_refuse_to_stop_early(spark):
+    e = graphs.cut(spark.createDataFrame([(i + 1, i) for i in range(5)], "src int, dst int"))
+    assert graphs.layers(e, 5).count() == 6 and graphs.closure(e, "src", "dst", 5).count() == 15
+    with pytest.raises(RuntimeError, match="layers"):
+        graphs.layers(e, 4)
+    with pytest.raises(RuntimeError, match="closure"):
+        graphs.closure(e, "src", "dst", 4)
+
+
 def test_components_of_a_long_path_and_alone(spark):
     nodes = spark.range(40).select(F.col("id").alias("n"))
     edges = spark.range(30).selectExpr("id + 1 a", "id b")
