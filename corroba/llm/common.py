@@ -22,14 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; where it is unset, as in tests, a folder of this session's own."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Where it is unset, a local master, as in tests, gets a folder of its own and a cluster an error."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corroba-"))
         given = spark.sparkContext.getCheckpointDir()
     return str(given).rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corroba/{name}-{uuid.uuid4().hex}"
 

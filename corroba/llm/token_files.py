@@ -5,9 +5,11 @@ A dataset is a folder with
 * ``dictionary``: the shared zstandard dictionary, its SHA-256 and the width of
   an id, one row;
 * ``data``: one row a block of about ``block_bytes``: ``shard``, ``block``,
-  ``payload`` (the frames of consecutive documents) and ``docs``, the offset
-  index of the block (doc_id, start in the shard, n_tokens, offset, length);
-* ``shards``: ids before each shard.
+  ``min_id`` and ``max_id`` (a reader of few documents skips other blocks by
+  the files' own statistics), ``payload`` (the frames of consecutive documents)
+  and ``docs``, the offset index of the block (doc_id, start in the shard,
+  n_tokens, offset, length);
+* ``shards``: ids before each shard, at most ``MAX_SHARDS`` rows.
 
 Shards are ranges of doc_id and blocks are in order inside a shard, so the files
 hold all ids in ascending doc_id order. They are written by Spark's own writers
@@ -19,7 +21,9 @@ The dictionary is trained on the id arrays of ``sample_docs`` documents, those
 with the smallest hash of their id; with too few of them it is empty. Everything
 else covers all documents. A null text is an empty one and has the end id alone.
 Null ids come first. Repeated rows are documents of their own, in any order
-among equal ids. An empty table gives no rows. Other columns are not read.
+among equal ids. Very long texts are encoded whole; a document's frame is one
+value and so at most 2 GB. An empty table gives no rows. Other columns are not
+read, so that their names cannot clash.
 """
 
 from __future__ import annotations
@@ -27,15 +31,18 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroba.llm.tokens import encoder
 
 BYTE_BPE = "byte_bpe_50k.json"
+#: More shards than this are not made; a shard then holds more documents, which a task streams. Bounds the cuts and the offsets of shards that the driver holds.
+MAX_SHARDS = 10_000
 _DOCS = "array<struct<doc_id:bigint,start:bigint,n_tokens:bigint,offset:bigint,length:bigint>>"
 _DOC_TYPE = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
 
@@ -48,7 +55,7 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, vocabulary: st
     import zstandard
 
     rows = _rows(docs, id_col, text_col)
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    chosen = rows.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +64,9 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, vocabulary: st
             out = [np.append(np.frombuffer(b, "<u4"), end_id).astype(dtype).tobytes() for b in enc.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    ids = [bytes(r.ids) for r in sample.mapInArrow(run, "doc_id bigint, ids binary").orderBy("doc_id", "ids").limit(2 * sample_docs).toLocalIterator()]
+    # Of rows that share an id the smallest ids array is taken, so that the same rows train the same dictionary.
+    once = sample.mapInArrow(run, "doc_id bigint, ids binary").groupBy("doc_id").agg(F.min("ids").alias("ids"))
+    ids = [bytes(r.ids) for r in once.orderBy("doc_id").toLocalIterator()]
     try:
         return zstandard.train_dictionary(size, ids).as_bytes()
     except zstandard.ZstdError:
@@ -78,15 +87,17 @@ def write_token_files(
     block_bytes: int = 1 << 20,
     dtype: str = "<u2",
 ) -> None:
-    """Writes the dataset. ``dtype`` has to hold every id of the vocabulary."""
+    """Writes the dataset. ``dtype`` has to hold every id of the vocabulary, else this raises."""
     spark = docs.sparkSession
+    if max(encoder(vocabulary, False).tokenizer.get_vocab_size() - 1, end_id) > np.iinfo(dtype).max:
+        raise ValueError(f"{dtype} does not hold every id of {vocabulary}")
     rows = _rows(docs, id_col, text_col)
     known = train_dictionary(docs, id_col, text_col, vocabulary, end_id, dtype, sample_docs, dictionary_bytes)
     mark = hashlib.sha256(known).hexdigest()
     spark.createDataFrame([(mark, bytearray(known), dtype)], "dict_sha256 string, dictionary binary, dtype string").coalesce(1).write.parquet(f"{path}/dictionary")
 
     total = rows.count()
-    shards = max(1, -(-total // shard_rows))
+    shards = min(MAX_SHARDS, max(1, -(-total // shard_rows)))
     cuts = np.zeros(0, np.int64)
     if shards > 1:
         at = [i / shards for i in range(1, shards)]
@@ -111,7 +122,7 @@ def write_token_files(
         shard, block, start, payload, index = None, 0, 0, bytearray(), []
 
         def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([mark]), pa.array([bytes(payload)], pa.binary()), pa.array([index], pa.list_(_DOC_TYPE))], ["shard", "block", "dict_sha256", "payload", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([mark]), pa.array([index[0]["doc_id"]], pa.int64()), pa.array([index[-1]["doc_id"]], pa.int64()), pa.array([bytes(payload)], pa.binary()), pa.array([index], pa.list_(_DOC_TYPE))], ["shard", "block", "dict_sha256", "min_id", "max_id", "payload", "docs"])
 
         for batch in batches:
             for doc_id, of, n, frame in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -128,11 +139,14 @@ def write_token_files(
 
     frames = rows.mapInArrow(encode, "doc_id bigint, shard int, n_tokens bigint, frame binary")
     ranged = frames.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
-    ranged.mapInArrow(pack, f"shard int, block int, dict_sha256 string, payload binary, docs {_DOCS}").write.option("compression", "none").parquet(f"{path}/data")
+    ranged.mapInArrow(pack, f"shard int, block int, dict_sha256 string, min_id bigint, max_id bigint, payload binary, docs {_DOCS}").write.option("compression", "none").parquet(f"{path}/data")
 
     totals = spark.read.parquet(f"{path}/data").select("shard", F.aggregate("docs", F.lit(0).cast("long"), lambda s, d: s + d["n_tokens"]).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals.select("shard", before.alias("base")).write.parquet(f"{path}/shards")  # one row a shard
+    bases, base = [], 0
+    for r in totals.orderBy("shard").collect():  # at most MAX_SHARDS rows
+        bases.append((r.shard, base))
+        base += r.n
+    spark.createDataFrame(bases, "shard int, base long").coalesce(1).write.parquet(f"{path}/shards")
 
 
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -164,6 +178,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     blocks = spark.read.parquet(f"{path}/data")
     if only is not None:
         wanted = sorted(only)
-        blocks = blocks.where(F.exists("docs", lambda d: d["doc_id"].isin(wanted)))
+        hits = [(F.col("max_id") >= x) & (F.col("min_id").isNull() | (F.col("min_id") <= x)) for x in wanted]
+        blocks = blocks.where(reduce(Column.__or__, hits, F.lit(False)))
     docs = blocks.select("shard", "dict_sha256", "payload", "docs").mapInArrow(run, "doc_id bigint, shard int, local bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
-    return docs.join(spark.read.parquet(f"{path}/shards"), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return docs.join(F.broadcast(spark.read.parquet(f"{path}/shards")), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "ids")
