@@ -1,34 +1,42 @@
 """Near duplicates: bottom-k sketches, inverted lists, union-sketch filter, exact Jaccard.
 
-1. Every text becomes its set of 5-word shingle hashes; the ``k`` smallest
-   hashes are its sketch (one hash function). Equal sets form one class.
+1. Every text becomes its set of 5-word shingle hashes (one hash function); its
+   bottom-k sketch are the ``deep_k`` smallest of them, of which every row keeps
+   the first ``k``. Equal sets form one class.
 2. The ``index_k`` smallest values of every class go to inverted lists. A pair
    at the threshold shares at least ``chance_floor`` of them but for a chance
    under 1e-9 (sets that fit in the sketch have the exact floor), so a class
-   that shares fewer values with the whole corpus leaves at once.
-3. Of the classes that are left, the ``deep_k`` smallest values (most sets whole)
-   go to new lists, again with a floor; by the prefix principle a class needs
-   only its rarest values, as many as lie beyond the floor, and one with more
-   values of its own than that leaves. Lists are cut into cells of two length
-   bands each, as wide as the threshold allows lengths to differ.
+   that shares fewer values with the whole corpus leaves at once. Only classes
+   that are left have the rest of their sketch made.
+3. The retained values of these classes (most sets whole) go to inverted lists,
+   again with a floor; by the prefix principle a class needs only its rarest
+   values, as many as lie beyond the floor, and one with more values of its own
+   than that leaves. Lists are cut into cells of two length bands each, as wide
+   as the threshold allows lengths to differ. A cell with over a thousandth of
+   all entries (there are under a thousand of them) is not dealt by its key: what
+   is known of it is broadcast to its entries.
 4. A star round: in each cell the most central class is compared with all the
    others, linear in the cell. Pairs pass a length bound, the Jaccard estimate
    of the bottom-k of the union of both sketches, then the exact Jaccard of the
    full sets. Linked classes merge.
-5. Cells that still hold two components are joined to clusters. A cluster's
-   classes are sorted by length and dealt to blocks of ``block`` classes; pairs of
-   blocks whose lengths can match and that hold two components are a task each,
-   which counts all overlaps of full sets by a matrix product over the values
-   that two classes share, and returns only links that join two components. So
-   no pair is capped or emitted without need, and no task holds over two blocks.
+5. Cells that still hold two components are joined to clusters. Clusters are
+   range-sorted with their classes by length and cut into blocks of at most
+   ``block`` classes and ``block_shingles`` shingles, a larger class alone; pairs of
+   blocks whose lengths can match and that hold two components are a task each.
+   It counts the overlaps of sketches through the lists of their values, keeps
+   pairs that reach the floor of step 2 for the union of both, verifies these on
+   their full sets, and returns only links that join two components. So no pair
+   is capped or emitted without need, and no task holds over two blocks.
 
 A component is therefore the same as with all pairs compared, and a group of m
 near copies costs about m comparisons.
 
-Null and empty texts have no shingles and link with nothing. Repeated rows are
-rows like any others and share their class; rows with one doc_id and different
-texts keep their own component each. An empty table gives no rows. Only the id
-and text columns are read.
+Null and empty texts have no shingles and link with nothing. Texts of any length
+are read whole; a class's text is one value of a task. Repeated rows are rows
+like any others and share their class; rows with one doc_id and different texts
+keep their own component each, and rows with a null id link others like any row.
+An empty table gives no rows. Only the id and text columns are read, so that
+other names cannot clash.
 """
 
 from __future__ import annotations
@@ -38,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroba.llm.common import discard, stored
@@ -69,24 +77,29 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return (values ^ _BIAS).view(np.int64)
 
 
+def text_hash(text_col: str) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, k: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, sketch), one row a row of ``docs``."""
+    """(doc_id, text_hash, n_shingles, digest, sketch), one row a row of ``docs``."""
     doc_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, values, ends = [], [], [], [0]
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), words)
                 sizes.append(len(s))
                 digests.append(set_digest(s))
                 values.append(_signed(s[:k]))
                 ends.append(ends[-1] + len(values[-1]))
             sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), sketch], ["doc_id", "n_shingles", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), sketch], ["doc_id", "text_hash", "n_shingles", "digest", "sketch"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {doc_type}, n_shingles bigint, digest binary, sketch array<bigint>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {doc_type}, text_hash bigint, n_shingles bigint, digest binary, sketch array<bigint>")
 
 
 def _floor(n: str, k: int, floor: int, percent: int) -> str:
@@ -134,30 +147,42 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, block:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def _block_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each left set shares with each right one, through the lists of values that two sets hold."""
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    keep = counts[inverse] > 1
+    column = np.cumsum(counts > 1)[inverse[keep]] - 1
+    owner, width = owner[keep], int((counts > 1).sum())
+    both = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    step = 4096
+    for at in range(0, width, step):
+        a, b = np.searchsorted(column, [at, at + step])
+        part = np.zeros((len(sets), step), np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        both += part[left] @ part[right].T
+    return both
+
+
+def _block_links(rows: DataFrame, words: int, percent: int, k: int, floor: int) -> DataFrame:
     """Links between components inside each (cluster, i, j); rows: cluster, i, j, side, digest, component, text."""
 
     def links(held: list[tuple]) -> list[tuple]:
         sets = [shingle_set(r[3], words) for r in held]
         sizes = np.array([len(x) for x in sets])
-        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        keep = counts[inverse] > 1
-        column = np.cumsum(counts > 1)[inverse[keep]] - 1
-        owner, width = owner[keep], int((counts > 1).sum())
         left = np.array([i for i, r in enumerate(held) if r[0] == 0])
         right = np.array([i for i, r in enumerate(held) if r[0] == 1])
         right = left if not len(right) else right
-        both = np.zeros((len(left), len(right)), np.float32)
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        step = 4096
-        for at in range(0, width, step):
-            a, b = np.searchsorted(column, [at, at + step])
-            part = np.zeros((len(sets), step), np.float32)
-            part[owner[a:b], column[a:b] - at] = 1
-            both += part[left] @ part[right].T
-        near = np.argwhere(100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both))
+        least = np.where(sizes <= k * percent // 100, -(-percent * sizes // 100), floor)
+        near = _overlaps([x[:k] for x in sets], left, right) >= np.maximum(least[left][:, None], least[right][None, :])
+        left, right = left[near.any(1)], right[near.any(0)]
+        if not len(left):
+            return []
+        near = near[near.any(1)][:, near.any(0)]
+        both = _overlaps(sets, left, right)
+        near = np.argwhere(near & (100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)))
         root: dict[bytes, bytes] = {}
 
         def top(x: bytes) -> bytes:
@@ -189,12 +214,33 @@ def _block_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def _within_clusters(mixed: DataFrame, texts: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+def _blocks(members: DataFrame, block: int, block_shingles: int) -> DataFrame:
+    """The members, range-sorted by cluster and length, with the number of their block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, cluster, rows, size = TaskContext.get().partitionId() << 32, None, 0, 0
+        for batch in batches:
+            out = []
+            for c, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if c != cluster or rows >= block or size + n > block_shingles:
+                    number, cluster, rows, size = number + 1, c, 0, 0
+                rows, size = rows + 1, size + n
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], ["cluster", "n", "digest", "component", "block"])
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = members.select("cluster", "n", "digest", "component").repartitionByRange(parts, "cluster", "n", "digest").sortWithinPartitions("cluster", "n", "digest")
+    return sorted_rows.mapInArrow(run, "cluster binary, n bigint, digest binary, component binary, block bigint")
+
+
+def _within_clusters(mixed: DataFrame, texts: DataFrame, words: int, percent: int, block: int, block_shingles: int, k: int, floor: int) -> DataFrame:
     """All links between components of classes that share a mixed cell; ``mixed``: v, band, digest, n, component."""
-    heads = mixed.groupBy("v", "band").agg(F.min("digest").alias("head"))
-    clusters = connected_components(mixed.join(heads, ["v", "band"]).where("digest <> head").select("digest", "head").distinct(), "digest", "head")
+    heads = mixed.groupBy("v", "band").agg(F.min("digest").alias("head"), F.count("*").alias("entries"))
+    clusters = connected_components(_at_cells(mixed, heads).where("digest <> head").select("digest", "head").distinct(), "digest", "head")
     members = mixed.select("digest", "n", "component").distinct().join(clusters.select(F.col("node").alias("digest"), F.col("component").alias("cluster")), "digest")
-    blocks = stored(members.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("cluster").orderBy("n", "digest")) - 1) / block).cast("int")), "blocks")
+    blocks = stored(_blocks(members, block, block_shingles), "blocks")
     span = blocks.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     i = span.select("cluster", F.col("block").alias("i"), F.col("hi").alias("hi"), "c0", "c1")
     j = span.select("cluster", F.col("block").alias("j"), F.col("lo").alias("lo"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
@@ -203,7 +249,16 @@ def _within_clusters(mixed: DataFrame, texts: DataFrame, words: int, percent: in
     second = tasks.where("i < j").join(blocks.withColumnRenamed("block", "j"), ["cluster", "j"]).select("cluster", "i", "j", F.lit(1).alias("side"), "digest", "component")
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = first.union(second).join(texts, "digest").select("cluster", "i", "j", "side", "digest", "component", "text")
-    return _block_links(rows.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "digest"), words, percent)
+    return _block_links(rows.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "digest"), words, percent, k, floor)
+
+
+def _at_cells(entries: DataFrame, cells: DataFrame) -> DataFrame:
+    """Entries with what ``cells`` says of their (v, band); cells without a row there are left out. ``cells`` has ``entries``, their number."""
+    total = entries.count()
+    cells = stored(cells, "cells")
+    hot = cells.where(F.col("entries") > total // 1000)  # under a thousand
+    cold = entries.join(F.broadcast(hot.select("v", "band")), ["v", "band"], "left_anti").join(cells.where(F.col("entries") <= total // 1000), ["v", "band"])
+    return entries.join(F.broadcast(hot), ["v", "band"]).select(cold.columns).union(cold).drop("entries")
 
 
 def near_duplicates(
@@ -216,11 +271,13 @@ def near_duplicates(
     index_k: int = 32,
     deep_k: int = 1024,
     block: int = 512,
+    block_shingles: int = 1 << 20,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row a row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, text_hash), one row a row of ``docs``.
 
-    ``percent``: least Jaccard, in hundredths; the floors follow from it.
-    ``block``: classes of a block; a task holds the sets of two.
+    ``percent``: least Jaccard, in hundredths; all floors follow from it, and a
+    threshold that the sketches are too small for is an error. ``block``,
+    ``block_shingles``: classes and shingles of a block; a task holds the sets of two.
     """
     floor_shared, deep_floor = chance_floor(index_k, percent, INDEX_MISS), chance_floor(deep_k, percent, DEEP_MISS)
     rows = stored(sketches(docs, id_col, text_col, words, k), "sketches")
@@ -232,14 +289,15 @@ def near_duplicates(
     alive = stored(held.where(f"shared >= {_floor('n', index_k, floor_shared, percent)}").select("digest"), "alive")
 
     need_text = classes.select("digest", "rep").join(alive, "digest", "left_semi")
-    found = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(need_text.select("rep").distinct(), "rep", "left_semi")
+    reps = need_text.select(F.col("rep").alias("need")).distinct()  # a class whose rows all have a null id has a null one
+    found = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(reps, F.col("rep").eqNullSafe(F.col("need")), "left_semi")
     texts = stored(_class_texts(found, words).join(alive, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
     sketch = classes.select("digest", "sketch").join(alive, "digest", "left_semi")
 
     deep = stored(_deep_values(texts, words, deep_k), "deep")
     common_values = deep.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     every = Window.partitionBy("digest")
-    band = F.floor(F.log("n") / -np.log(percent / 100)).cast("int")
+    band = (F.floor(F.log("n") / -np.log(percent / 100)) if percent < 100 else F.col("n")).cast("int")
     lists = (
         deep.join(common_values, "v")
         .withColumn("at", F.row_number().over(every.orderBy("df", "v")))
@@ -250,13 +308,15 @@ def near_duplicates(
     )
     lists = stored(lists, "lists")
 
-    first = lists.groupBy("v", "band").agg(F.max(F.struct("central", "digest", "n")).alias("top"))
-    pairs = lists.join(first, ["v", "band"]).select(F.col("digest").alias("a"), F.col("top.digest").alias("b"), "n", F.col("top.n").alias("m"))
+    first = lists.groupBy("v", "band").agg(F.max(F.struct("central", "digest", "n")).alias("top"), F.count("*").alias("entries")).where("entries > 1")
+    pairs = _at_cells(lists, first).select(F.col("digest").alias("a"), F.col("top.digest").alias("b"), "n", F.col("top.n").alias("m"))
     near = pairs.where(f"a <> b and 100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b").distinct()
     close = near.join(sketch.select(F.col("digest").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("digest").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    close = stored(close.where(2 * both >= F.size(union)).select("a", "b"), "close")
+    # A union of fewer values than the sketch holds is whole, and its share exact.
+    enough = F.when(F.size(union) < k, 100 * both >= percent * F.size(union)).otherwise(both >= chance_floor(k, percent, INDEX_MISS))
+    close = stored(close.where(enough).select("a", "b"), "close")
     links = stored(_verify(close, texts, words, percent), "links")
     together = stored(connected_components(links), "components") if not links.isEmpty() else None
 
@@ -266,10 +326,10 @@ def near_duplicates(
         return df.join(together.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
 
     known = with_component(lists.select("v", "band", "digest", "n"))
-    open_cells = known.groupBy("v", "band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("v", "band")
-    mixed = stored(known.join(open_cells, ["v", "band"], "left_semi"), "mixed")
+    open_cells = known.groupBy("v", "band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("entries")).where("c0 < c1").select("v", "band", "entries")
+    mixed = stored(_at_cells(known, open_cells), "mixed")
     if not mixed.isEmpty():
-        more = stored(_within_clusters(mixed, texts, words, percent, block), "more")
+        more = stored(_within_clusters(mixed, texts, words, percent, block, block_shingles, deep_k, deep_floor), "more")
         if not more.isEmpty():
             together = stored(connected_components(links.union(more)), "components")
 
@@ -281,10 +341,10 @@ def near_duplicates(
     ids = stored(groups.join(smallest, "component").select("digest", "component_id"), "ids")
     discard(docs.sparkSession, texts, lists, deep)
     return (
-        rows.select("doc_id", "n_shingles", "digest")
+        rows.select("doc_id", "n_shingles", "digest", "text_hash")
         .join(ids, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
     )
 
 
