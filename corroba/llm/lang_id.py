@@ -6,7 +6,8 @@ probability of a word is the sum over all its segmentations into pieces, by the
 forward algorithm; a text's is the product over its words, lower-cased and
 split at white space. The piece probabilities are fitted by expectation
 maximisation (expected counts over all segmentations, forward and backward) on
-the words of at most ``per_language`` whole texts of each language.
+the words of at most ``per_language`` whole texts of each language, words of any
+length included (long ones in logarithms, so that nothing underflows).
 
 The prediction is the language of the largest log-likelihood, ties to the
 smaller name; the score is its share after the log-likelihoods were divided by
@@ -14,7 +15,9 @@ the square root of the number of words (1 over the number of languages at least)
 
 Null text and text without a letter are ``und`` with score 0, and so is every
 text where no language was learned. Languages are the non-null values of the
-training rows. Repeated rows get equal results. An empty table gives no rows.
+training rows; an id that bears two of them teaches both. Repeated rows get equal
+results, and texts of any length are read whole. An empty table gives no rows.
+Other columns than id, text and language are not read, so that names cannot clash.
 """
 
 from __future__ import annotations
@@ -26,15 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroba.llm.common import crc32_fold, text_batches
 from corroba.llm.tokens import vocabulary
 
 PIECES = "piece_bpe_32k.model"
-#: Longer pieces are not used: the forward algorithm looks back so far.
-MAX_PIECE = 10
 #: The probability of a character outside the vocabulary.
 UNKNOWN = 1e-8
 MAX_LANGUAGES = 200
@@ -42,6 +43,8 @@ MAX_LANGUAGES = 200
 CACHE_WORDS = 800_000
 #: Longer words are scored one by one, with rescaling, and not remembered.
 SHORT = 24
+#: Longer words are fitted in logarithms: the product of so many least probabilities is still a normal number.
+LINEAR = 36
 _LETTER = re.compile(r"[^\W\d_]")
 #: Characters after which the forward sums are rescaled.
 _RESCALE = 24
@@ -52,14 +55,19 @@ def public_pieces(path: str = PIECES) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=vocabulary(path))
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return sorted({p.lower() for p in found if 0 < len(p) <= MAX_PIECE})
+    return sorted({p.lower() for p in found if p})
 
 
-def segments(word: str, index: dict[str, int]) -> list[tuple[int, int, int]]:
+def longest(pieces) -> int:
+    """How far the forward algorithm looks back."""
+    return max(map(len, pieces), default=1)
+
+
+def segments(word: str, index: dict[str, int], back: int) -> list[tuple[int, int, int]]:
     """(start, end, piece) of all pieces in the word, by end; piece -1 is an unknown character."""
     out = []
     for j in range(1, len(word) + 1):
-        for i in range(max(0, j - MAX_PIECE), j):
+        for i in range(max(0, j - back), j):
             k = index.get(word[i:j])
             if k is not None:
                 out.append((i, j, k))
@@ -68,27 +76,46 @@ def segments(word: str, index: dict[str, int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def expected_counts(words: dict[str, int], index: dict[str, int], prob: list[float], parts: dict[str, list]) -> np.ndarray:
+def _plain_counts(seg: list, size: int, n: int, prob: list[float], counts: np.ndarray) -> None:
+    fore, back = [1.0] + [0.0] * size, [0.0] * size + [1.0]
+    for i, j, k in seg:
+        fore[j] += fore[i] * (prob[k] if k >= 0 else UNKNOWN)
+    for i, j, k in reversed(seg):
+        back[i] += back[j] * (prob[k] if k >= 0 else UNKNOWN)
+    scale = n / fore[-1]
+    for i, j, k in seg:
+        if k >= 0:
+            counts[k] += fore[i] * prob[k] * back[j] * scale
+
+
+def _log_counts(seg: list, size: int, n: int, prob: list[float], counts: np.ndarray) -> None:
+    fore, back = [0.0] + [-math.inf] * size, [-math.inf] * size + [0.0]
+    cost = [math.log(prob[k] if k >= 0 else UNKNOWN) for _, _, k in seg]
+
+    def add(a: float, b: float) -> float:
+        if a < b:
+            a, b = b, a
+        return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+    for (i, j, _), c in zip(seg, cost, strict=True):
+        fore[j] = add(fore[j], fore[i] + c)
+    for (i, j, _), c in zip(reversed(seg), reversed(cost), strict=True):
+        back[i] = add(back[i], back[j] + c)
+    for (i, j, k), c in zip(seg, cost, strict=True):
+        if k >= 0:
+            counts[k] += n * math.exp(fore[i] + c + back[j] - fore[-1])
+
+
+def expected_counts(words: dict[str, int], pieces: int, prob: list[float], parts: dict[str, list]) -> np.ndarray:
     """Expected uses of each piece over all segmentations of all words."""
-    counts = np.zeros(len(index))
+    counts = np.zeros(pieces)
     for word, n in words.items():
-        seg = parts[word]
-        fore, back = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
-        for i, j, k in seg:
-            fore[j] += fore[i] * (prob[k] if k >= 0 else UNKNOWN)
-        for i, j, k in reversed(seg):
-            back[i] += back[j] * (prob[k] if k >= 0 else UNKNOWN)
-        if fore[-1] > 0:
-            scale = n / fore[-1]
-            for i, j, k in seg:
-                if k >= 0:
-                    counts[k] += fore[i] * prob[k] * back[j] * scale
+        (_plain_counts if len(word) <= LINEAR else _log_counts)(parts[word], len(word), n, prob, counts)
     return counts
 
 
-def fit_language(words: dict[str, int], index: dict[str, int], rounds: int = 3, smooth: float = 0.05) -> np.ndarray:
-    words = {w: n for w, n in words.items() if len(w) <= 40}  # longer ones would underflow and teach little
-    parts = {w: segments(w, index) for w in words}
+def fit_language(words: dict[str, int], index: dict[str, int], back: int, rounds: int = 3, smooth: float = 0.05) -> np.ndarray:
+    parts = {w: segments(w, index, back) for w in words}
     counts = np.zeros(len(index))
     for w, n in words.items():
         for _, _, k in parts[w]:
@@ -96,7 +123,7 @@ def fit_language(words: dict[str, int], index: dict[str, int], rounds: int = 3,
                 counts[k] += n
     prob = (counts + smooth) / (counts + smooth).sum()
     for _ in range(rounds):
-        counts = expected_counts(words, index, prob.tolist(), parts)
+        counts = expected_counts(words, len(index), prob.tolist(), parts)
         prob = (counts + smooth) / (counts + smooth).sum()
     return prob
 
@@ -111,6 +138,7 @@ class LanguageModel:
         k = len(self.languages)
         self.rows = np.vstack([np.zeros((1, k)), np.full((1, k), UNKNOWN), self.probs.T.reshape(len(self.pieces), k)])
         self.index = {p: i + 2 for i, p in enumerate(self.pieces)} if self.languages else {}
+        self.back = longest(self.pieces)
         self.forget()
 
     def forget(self) -> None:
@@ -127,20 +155,20 @@ class LanguageModel:
     def word(self, word: str) -> np.ndarray:
         """Log-probability of "▁" + word in every language; rescaled on the way, for words of any length."""
         text, k = "▁" + word, len(self.languages)
-        fore = np.zeros((MAX_PIECE + 1, k))  # a ring of the last sums
+        fore = np.zeros((self.back + 1, k))  # a ring of the last sums
         fore[0] = 1
         logs = np.zeros(k)
         for j in range(1, len(text) + 1):
-            starts = range(max(0, j - MAX_PIECE), j)
+            starts = range(max(0, j - self.back), j)
             found = [self.index.get(text[i:j], int(i == j - 1)) for i in starts]
-            used = [(i % (MAX_PIECE + 1), r) for i, r in zip(starts, found, strict=True) if r]
-            fore[j % (MAX_PIECE + 1)] = (fore[[u[0] for u in used]] * self.rows[[u[1] for u in used]]).sum(0)
+            used = [(i % (self.back + 1), r) for i, r in zip(starts, found, strict=True) if r]
+            fore[j % (self.back + 1)] = (fore[[u[0] for u in used]] * self.rows[[u[1] for u in used]]).sum(0)
             if j % _RESCALE == 0:
                 top = fore.max(0)
                 top[top == 0] = 1e-300
                 logs += np.log(top)
                 fore /= top
-        return logs + np.log(np.maximum(fore[len(text) % (MAX_PIECE + 1)], 1e-300))
+        return logs + np.log(np.maximum(fore[len(text) % (self.back + 1)], 1e-300))
 
     def short_words(self, words: list[str]) -> np.ndarray:
         """The same for words of one length, at most ``SHORT``, all at once and without rescaling."""
@@ -149,7 +177,7 @@ class LanguageModel:
         fore = [np.ones((len(texts), len(self.languages)))]
         for j in range(1, size + 1):
             now = np.zeros_like(fore[0])
-            for i in range(max(0, j - MAX_PIECE), j):
+            for i in range(max(0, j - self.back), j):
                 row = np.array([get(t[i:j], 0) for t in texts])
                 if i == j - 1:
                     row[row == 0] = 1
@@ -204,13 +232,14 @@ def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     langs.sort()
-    chosen = None
-    for lang in langs:
-        one = rows.where(F.col(lang_col).cast("string") == lang).where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(F.lit(5), id_col), id_col).limit(per_language)
-        chosen = one if chosen is None else chosen.union(one)
+    # One pass: the ids with the smallest hashes of every language; at most per_language times MAX_LANGUAGES of them.
+    first = Window.partitionBy("__lang").orderBy(F.xxhash64(F.lit(5), "__id"), "__id")
+    named = rows.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"))
+    chosen = named.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= per_language).select("__id", "__lang").distinct() if langs else None
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     if chosen is not None:
-        sample = rows.join(F.broadcast(chosen.distinct()), id_col, "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+        texts = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text"))
+        sample = texts.join(F.broadcast(chosen), ["__id", "__lang"], "left_semi").select(F.col("__lang").alias("lang"), F.col("__text").alias("text")).where("text is not null")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: Counter = Counter()
@@ -224,7 +253,8 @@ def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
             counts[r.lang]["▁" + r.word] = r.n
     index = {p: i for i, p in enumerate(pieces)}
     langs = [x for x in langs if counts[x]]
-    probs = np.array([fit_language(counts[x], index) for x in langs]).reshape(len(langs), len(pieces))
+    back = longest(pieces)
+    probs = np.array([fit_language(counts[x], index, back) for x in langs]).reshape(len(langs), len(pieces))
     return LanguageModel(langs, pieces, probs)
 
 
