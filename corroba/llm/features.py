@@ -7,12 +7,12 @@ string work over the whole text; long texts are read in pieces.
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 2048
@@ -48,9 +48,7 @@ def text_features(text: str | None) -> np.ndarray:
     lines = text.split("\n")
     shape = [np.log1p(n) / 10, *(kinds[1:5] / n), data.count(b"\n") / n * 10, kinds[5] / n]
     if words:
-        seen: dict[str, int] = {}
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
+        seen = Counter(words)
         pairs = set(zip(words, words[1:], strict=False))
         signs = sum(c for w, c in seen.items() if not w[-1].isalnum() and w[-1] not in ".,")
         shape += [len(seen) / len(words), len(pairs) / max(1, len(words) - 1), len(set(lines)) / len(lines), n / len(words) / 20, max(seen.values()) / len(words), signs / len(words)]
@@ -73,16 +71,37 @@ def feature_rows(rows: DataFrame, columns: list[str], text_col: str) -> DataFram
     return kept.mapInArrow(run, schema)
 
 
-def small_sample(rows: DataFrame, id_col: str, text_col: str, n: int, seed: int, ids: DataFrame | None = None) -> np.ndarray:
-    """Features of the whole texts of at most ``n`` rows, those with the smallest hash of their id; in id order, so that fits repeat. ``ids``: the ids to choose from, else those of ``rows``; texts are not shuffled."""
-    chosen = (rows if ids is None else ids).where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(n).distinct()
-    found = feature_rows(rows.join(F.broadcast(chosen), id_col, "left_semi"), [id_col], text_col).limit(2 * n)
-    x, keys = np.empty((2 * n, WIDTH), np.float32), []
-    for r in found.repartition(max(1, n // 500)).toLocalIterator():  # parts of a few MB: the driver holds one beside the array
-        x[len(keys)] = np.frombuffer(r.x, np.float32)
-        keys.append((r[0], zlib.crc32(r.x), len(keys)))
+def small_sample(rows: DataFrame, id_col: str, text_col: str, n: int, seed: int, ids: DataFrame | None = None, by: str | None = None) -> tuple[np.ndarray, list]:
+    """Features of the whole texts of at most ``n`` ids, those with the smallest hash, and their values of ``by``; in id order, so that fits repeat.
+
+    ``ids``: the ids to choose from, else those of ``rows``. ``by``: at most ``n``
+    ids of each of its values, all chosen in one pass. An id gives one row, the one
+    with the smallest hash of its text. Texts are not shuffled, only the ids and
+    the features of what is chosen.
+    """
+    pool = (rows if ids is None else ids).where(F.col(id_col).isNotNull())
+    if by is None:
+        chosen = pool.select(F.col(id_col).alias("__id")).orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(n).distinct()
+        kept, columns = rows.select(F.col(id_col).alias("__id"), F.lit("").alias("__by"), F.col(text_col).alias("__text")), ["__id"]
+    else:
+        first = Window.partitionBy("__by").orderBy(F.xxhash64(F.lit(seed), "__id"), "__id")
+        named = pool.select(F.col(id_col).alias("__id"), F.col(by).cast("string").alias("__by")).where("__by is not null")
+        chosen = named.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n).select("__id", "__by").distinct()
+        kept, columns = rows.select(F.col(id_col).alias("__id"), F.col(by).cast("string").alias("__by"), F.col(text_col).alias("__text")), ["__id", "__by"]
+    found = feature_rows(kept.join(F.broadcast(chosen), columns, "left_semi"), ["__id", "__by"], "__text")
+    once = found.groupBy("__id", "__by").agg(F.min("x").alias("x"))
+    parts: list[np.ndarray] = []
+    keys: list[tuple] = []
+    for r in once.repartition(max(1, n // 500)).toLocalIterator():  # parts of a few MB: the driver holds one beside the features
+        keys.append((r[1], r[0], len(parts)))
+        parts.append(np.frombuffer(r[2], np.float32))
     rows.sparkSession._jvm.System.gc()
-    return x[[k[2] for k in sorted(keys)]]
+    keys.sort()
+    x = np.empty((len(keys), WIDTH), np.float32)
+    for at, (_, _, i) in enumerate(keys):
+        x[at] = parts[i]
+        parts[i] = None
+    return x, [k[0] for k in keys]
 
 
 class Scale:

@@ -21,7 +21,10 @@
 
 Null text has no tokens; its posterior is that of zero features. Documents with
 a null domain are unlabelled. With no labelled row there is one domain ``all``.
-Repeated rows have equal rates. An empty table gives no rows.
+Repeated rows and ties have equal rates; an id with two domains teaches both. Texts
+of any length are read whole. An empty table gives no rows. ``mixing_rates``
+reads the id, text and domain columns alone, ``mix`` passes all others on
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corroba.llm.common import stored
+from corroba.llm.common import free_name, stored
 from corroba.llm.features import WIDTH, Scale, small_sample, text_features
 
 #: More domains than this are an error: the model and the sums are held by the driver.
@@ -61,14 +64,16 @@ def fit_domains(labelled: DataFrame, id_col: str, text_col: str, domain_col: str
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     if not counts:
         return DomainModel(["all"], np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32), np.zeros((WIDTH + 1, 1), np.float32))
-    xs = [small_sample(labelled.where(F.col(domain_col).cast("string") == c.d), id_col, text_col, per_domain, 3) for c in counts]
-    y = np.repeat(np.arange(len(xs)), [len(a) for a in xs])
-    x = np.vstack(xs)
+    names = [c.d for c in counts]
+    x, of = small_sample(labelled, id_col, text_col, per_domain, 3, by=domain_col)
+    if not len(x):
+        return DomainModel(["all"], np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32), np.zeros((WIDTH + 1, 1), np.float32))
+    y = np.array([names.index(d) for d in of])
     scale = Scale(x)
     x = np.hstack([scale(x), np.ones((len(x), 1), np.float32)])
-    share = np.array([c.n for c in counts], float)
-    weight = np.concatenate([np.full(len(a), c.n / share.sum() / max(1, len(a))) for a, c in zip(xs, counts, strict=True)]).astype(np.float32)
-    w = np.zeros((WIDTH + 1, len(xs)), np.float32)
+    share, size = np.array([c.n for c in counts], float), np.bincount(y, minlength=len(names))
+    weight = (share / share.sum() / np.maximum(1, size))[y].astype(np.float32)
+    w = np.zeros((WIDTH + 1, len(names)), np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         z = x @ w
@@ -95,15 +100,19 @@ def ahead_of(p: np.ndarray, steps: list[tuple[float, np.ndarray]], floor: float,
     return now, now + momentum * (now - (replay(p, steps[:-1], floor) if steps else now))
 
 
+def _read(model: DomainModel, texts: list[str | None]) -> list[pa.Array]:
+    """Tokens and posteriors of texts."""
+    n = [len(t.encode("utf-8", "replace").split()) if t else 0 for t in texts]
+    return [pa.array(n, pa.int64()), pa.array([model.posterior(t) for t in texts], pa.list_(pa.float64()))]
+
+
 def posteriors(docs: DataFrame, model: DomainModel, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_tokens, posterior)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            n = [len(t.encode("utf-8", "replace").split()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([model.posterior(t) for t in texts], pa.list_(pa.float64()))], ["doc_id", "n_tokens", "posterior"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_read(model, [t.as_py() for t in batch.column(1)])], ["doc_id", "n_tokens", "posterior"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, posterior array<double>")
 
@@ -216,17 +225,25 @@ def mixing_rates(
 
 
 def mix(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", weights: dict[str, float] | None = None, temper: float = 0.5, floor: float = 0.0, per_domain: int = 400, max_steps: int = 100, tolerance: float = 1e-3, seed: int = 11) -> DataFrame:
-    """``docs`` with every row as many times as its rate says, all columns kept."""
+    """``docs`` with every row as many times as its rate says, all columns kept, whatever their names. Rows are stored once with their posteriors, so that no text is read by the model twice."""
     model = fit_domains(labelled if labelled is not None else docs, id_col, text_col, domain_col, per_domain)
-    known = stored(posteriors(docs, model, id_col, text_col), "posteriors")
-    steps, *_ = fit_rates(known, model.domains, weights, temper, floor, max_steps, tolerance)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())])
+    tokens, posterior, rate, copies = (free_name(docs, n) for n in ("mix_tokens", "mix_posterior", "mix_rate", "mix_copies"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(tokens, T.LongType()), T.StructField(posterior, T.ArrayType(T.DoubleType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_read(model, texts)], schema.names)
+
+    known = stored(docs.withColumn(free_name(docs, "mix_text"), F.col(text_col).cast("string")).mapInArrow(read, schema), "posteriors")
+    steps, *_ = fit_rates(known.select(F.col(tokens).alias("n_tokens"), F.col(posterior).alias("posterior")), model.domains, weights, temper, floor, max_steps, tolerance)
+    final = T.StructType([*docs.schema.fields, T.StructField(rate, T.DoubleType())])
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.array([model.posterior(t.as_py()) for t in batch.column(batch.num_columns - 1)]).reshape(-1, len(model.domains))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.round(replay(p, steps, floor), 9))], schema.names)
+            p = _matrix(batch.column(batch.num_columns - 1), len(model.domains))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.round(replay(p, steps, floor), 9))], final.names)
 
-    rated = docs.withColumn("__mix_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
-    copies = rated.withColumn("__copies", copies_of(F.col("__rate"), id_col, seed)).where("__copies > 0")
-    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = known.drop(tokens).mapInArrow(rated, final).withColumn(copies, copies_of(F.col(rate), id_col, seed)).where(F.col(copies) > 0)
+    again = out.withColumn(free_name(out, "mix_copy"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return again.select(*(F.col(f"`{c}`") for c in docs.columns))

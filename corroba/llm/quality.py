@@ -1,11 +1,13 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk.
 
 Trusted positives are rows labelled 1 outside the held-out fold; unlabelled web
-text is a sample of all documents outside it, whose labels are not looked at.
-The class prior is estimated from the labelled rows of the training folds, or,
-where these hold no label 0, from the scores of a positive-against-unlabelled
-model (mean score of unlabelled over mean score of positive text). A linear
-model over ``features`` minimises
+text is a sample of all documents outside it, whose labels are not looked at;
+labels of 0 are used nowhere. The class prior is estimated from positive and
+unlabelled text alone: a positive-against-unlabelled model is fitted on one half
+of both samples and scores the other half; for every threshold the share of
+unlabelled text above it over the share of positive text above it bounds the
+prior from above, and the threshold with the least bound, sampling error
+included, gives the estimate. A linear model over ``features`` minimises
 
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])
 
@@ -14,9 +16,11 @@ followed upwards. Fits use at most ``positives`` and ``unlabelled`` rows, whole
 texts; every document is scored.
 
 Null and empty texts have zero features and get the score of those. Repeated
-rows get equal scores; labels that contradict each other count as 0. Without
-any positive label every score is the prior 0.5. An empty table gives no rows.
-Only id and text of documents, id and quality of labels are read.
+rows get equal scores, texts of any length are read whole; an id with both
+labels is no trusted positive. Without any positive label every score is 0.5. An
+empty table gives no rows. Only id and text of documents, id and quality of
+labels are read; with ``keep_rows`` other columns pass unchanged, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corroba.llm.common import crc32_fold
+from corroba.llm.common import crc32_fold, free_name
 from corroba.llm.features import WIDTH, Scale, small_sample, text_features
 
 
@@ -58,11 +62,17 @@ def fit_nonnegative(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 250
     return w[:-1], float(w[-1])
 
 
-def estimate_prior(ones: int, zeros: int, p: np.ndarray, u: np.ndarray) -> float:
-    if zeros:
-        return float(np.clip(ones / (ones + zeros), 0.01, 0.99))
-    w, b = fit_nonnegative(p, u, 0.5)
-    return float(np.clip(_sigmoid(u @ w + b).mean() / max(1e-6, _sigmoid(p @ w + b).mean()), 0.01, 0.99))
+def estimate_prior(p: np.ndarray, u: np.ndarray, miss: float = 0.1) -> float:
+    """The share of positives in unlabelled text, by the best threshold of a model that never saw the rows it scores. ``miss``: the chance that the bound allows."""
+    if min(len(p), len(u)) < 4:
+        return 0.5
+    w, b = fit_nonnegative(p[::2], u[::2], 0.5)
+    sp, su = np.sort(p[1::2] @ w + b), np.sort(u[1::2] @ w + b)
+    above_p = 1 - np.arange(len(sp)) / len(sp)
+    above_u = 1 - np.searchsorted(su, sp, "left") / len(su)
+    error = np.sqrt(np.log(4 / miss) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
+    best = np.argmin((above_u + error) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
 
 
 def quality_scores(
@@ -78,18 +88,17 @@ def quality_scores(
     threshold: float = 0.3,
     keep_rows: bool = False,
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row a row of ``docs``; ``keep_rows``: all its columns and ``predicted`` as ``__predicted`` instead."""
+    """(doc_id, held_out, score, predicted), one row a row of ``docs``; ``keep_rows``: all its columns and, last, ``predicted`` instead, under the name that ``free_name`` gives for it."""
     fold = crc32_fold(id_col, folds)
-    known = labels.select(F.col(id_col), F.col(label_col).alias("__label")).where(F.col(id_col).isNotNull() & F.col("__label").isNotNull()).groupBy(id_col).agg(F.min("__label").alias("__label")).where(crc32_fold(id_col, folds) != held_out)
-    base = docs.select(id_col, F.col(text_col).alias("__text"))
-    ones, zeros = known.agg(F.sum(F.when(F.col("__label") == 1, 1)), F.sum(F.when(F.col("__label") != 1, 1))).first()
-    trusted = known.where("__label = 1").select(id_col)
-    p = small_sample(base, id_col, "__text", positives, 1, docs.select(id_col).join(trusted, id_col, "left_semi"))
-    u = small_sample(base.where(fold != held_out), id_col, "__text", unlabelled, 2)
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).where("__id is not null and __label is not null").groupBy("__id").agg(F.min("__label").alias("__label"))
+    trusted = known.where("__label = 1").where(crc32_fold("__id", folds) != held_out).select("__id")
+    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    p, _ = small_sample(base, "__id", "__text", positives, 1, base.select("__id").join(trusted, "__id", "left_semi"))
+    u, _ = small_sample(base.where(crc32_fold("__id", folds) != held_out), "__id", "__text", unlabelled, 2)
     if len(p) and len(u):
         scale = Scale(u)
         p, u = scale(p), scale(u)
-        prior = estimate_prior(ones or 0, zeros or 0, p, u)
+        prior = estimate_prior(p, u)
         w, b = fit_nonnegative(p, u, prior)
         bias = b
         mean, by, w = scale.mean, scale.by, w.astype(np.float32)
@@ -103,8 +112,8 @@ def quality_scores(
         return _sigmoid(x + bias)
 
     if keep_rows:
-        rows = docs.withColumn("__score_text", F.col(text_col).cast("string"))
-        schema = T.StructType([*docs.schema.fields, T.StructField("__predicted", T.IntegerType())])
+        rows = docs.withColumn(free_name(docs, "score_text"), F.col(text_col).cast("string"))
+        schema = T.StructType([*docs.schema.fields, T.StructField(free_name(docs, "predicted"), T.IntegerType())])
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
