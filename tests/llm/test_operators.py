@@ -58,6 +58,33 @@ def test_near_duplicates_equal_brute_force(spark, docs, none):
     assert near_dup.near_duplicates(none).collect() == []
 
 
+@pytest.mark.parametrize("percent", [50, 70, 85, 100])
+def test_near_duplicates_at_thresholds(spark, percent):
+    """Pairs on both sides of each threshold, a chain, and rows with a null id between others."""
+    rng = np.random.RandomState(percent)
+    rows, n = [], 0
+    for size in (6, 30, 200):
+        for changed in range(0, 12):
+            words = [f"g{size}x{changed}w{i}" for i in range(size)]
+            other = list(words)
+            for at in rng.choice(size, min(changed, size), replace=False):
+                other[at] = f"new{n}a{at}"
+            rows += [(n, " ".join(words)), (n + 1 if changed % 5 else None, " ".join(other))]
+            n += 2
+    rows += [(1000, BASE), (None, BASE + " more"), (1002, BASE + " more and"), (None, "alone here"), (1001, BASE + " more and more")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent, block=8).collect()
+    sets, group = [plain_set(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if 100 * len(a & b) >= percent * len(a | b):
+                group = [group[i] if g == group[j] else g for g in group]
+    least = defaultdict(list)
+    for g, (k, _) in zip(group, rows, strict=True):
+        least[g] += [k] if k is not None else []
+    want = [(k, len(s), min(least[g], default=None)) for g, s, (k, _) in zip(group, sets, rows, strict=True)]
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_near_duplicates_in_blocks(spark):
     """Chains whose ends are far apart: the block tasks have to find what no star finds."""
     rows = [(i, " ".join(f"c{i // 30}w{j}" for j in range(i % 30 * 3, i % 30 * 3 + 60))) for i in range(120)]
@@ -112,6 +139,9 @@ def test_encoder_equals_the_library():
         t.encode_special_tokens = True
         for text, got in zip(more, tokens.Encoder(name, drops).encode(more), strict=True):
             assert np.frombuffer(got, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
+        t.encode_special_tokens = False  # the library's own default, on request
+        for text, got in zip(more, tokens.Encoder(name, drops, special=True).encode(more), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_token_files_round_trip(spark, docs, none):
@@ -146,24 +176,54 @@ def test_packing(spark, docs, none):
     assert packing.pack_best_fit(none).collect() == []
 
 
-def test_sweep_equals_best_fit_decreasing():
+def plain_best_fit(lengths, capacity):
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, g in enumerate(bins) if g >= n]
+        if fits:
+            bins[min(fits, key=lambda i: bins[i])] -= n
+        else:
+            bins.append(capacity - n)
+    return len(bins)
+
+
+@pytest.mark.parametrize(("range_rows", "sweeps"), [(100_000, 1), (40, 1), (40, 3)])
+def test_packed_table_against_plain_best_fit(spark, range_rows, sweeps):
+    """Sequences without gaps, few of them, whether one task or many sweep; a third of the pieces have one length."""
+    rng = np.random.RandomState(1)
+    lengths = np.concatenate([rng.randint(1, 257, 400), np.full(200, 77), rng.randint(1, 30, 200), np.full(30, 256)]).tolist()
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack_pieces(pieces, 256, sweeps=sweeps, range_rows=range_rows).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for held in bins.values():
+        assert [o for o, _ in sorted(held)] == [sum(n for _, n in sorted(held)[:i]) for i in range(len(held))] and sum(n for _, n in held) <= 256
+    assert len(bins) <= 1.02 * plain_best_fit(lengths, 256)
+
+
+def test_one_sweep_is_best_fit():
     rng = np.random.RandomState(1)
     for _ in range(20):
-        lengths = rng.randint(1, 65, rng.randint(1, 300)).tolist()
-        bins: list[int] = []
-        for n in sorted(lengths, reverse=True):
-            fits = [i for i, g in enumerate(bins) if g >= n]
+        gaps, lengths = rng.randint(1, 65, 40).tolist(), sorted(rng.randint(1, 65, 60).tolist(), reverse=True)
+        sweep, room, got, want = packing.Sweep(), sorted(gaps), [], []
+        for at, g in enumerate(gaps):
+            sweep.gap(g, at)
+        for n in lengths:
+            taken = sweep.piece(n)
+            got.append(taken and taken[0])
+            fits = [g for g in room if g >= n]
+            want.append(min(fits) if fits else None)
             if fits:
-                bins[min(fits, key=lambda i: bins[i])] -= n
-            else:
-                bins.append(64 - n)
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        slots = sorted(packing.sweep(counts, 64))
-        used = set()
-        for at, (n, rank, first, _) in enumerate(slots):
-            end = slots[at + 1][1] if at + 1 < len(slots) and slots[at + 1][0] == n else counts[n]
-            used |= set(range(first, first + end - rank))
-        assert len(used) == len(bins)
+                room.remove(min(fits))
+                room.append(min(fits) - n)
+        assert got == want
+
+
+def test_ranks_resolve_conflicts():
+    # range 0 leaves 3 gaps of 9 or more; range 1 wants them for 4 pieces of at most 4, two a gap; range 2 takes the last gap and opens for one more
+    assert packing.resolve([(0, 2, 9, 3, 9), (1, 4, 4, 0, None), (2, 5, 2, 0, None)]) == [(0, 0, 2, -1, 0, 0), (1, 0, 4, 0, 0, 2), (2, 0, 4, 0, 2, 4), (2, 4, 5, -1, 0, 0)]
 
 
 def test_chat_round_trip(spark):
@@ -235,6 +295,47 @@ def test_neighbours_of_vectors_that_tie(spark, own):
         assert got[q] == [(c, s) for s, c in sorted(pairs, key=lambda p: (-p[0], p[1]))[:5]]
 
 
+def plain_neighbours(v, ids, every):
+    norm = np.sqrt(vp_search.dots(v, v))
+    out = {}
+    for q in np.flatnonzero(ids % every == 0):
+        score = vp_search.dots(v, v[q : q + 1]) / (norm[q] * norm)
+        out[int(ids[q])] = [(int(ids[i]), float(score[i])) for i in np.lexsort((ids, -score)) if ids[i] != ids[q]][:5]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["multiples", "noise 1e-7", "noise 1e-8", "clusters"])
+def test_neighbours_of_almost_parallel_vectors(spark, kind):
+    rng = np.random.RandomState(6)
+    v = rng.randn(1500, 64)
+    if kind == "multiples":
+        v[300:800] = v[0] * (1 + rng.permutation(500)[:, None])
+    elif kind == "clusters":
+        v = v[rng.randint(0, 12, 1500)] + 0.05 * v
+    else:
+        v[300:800] = v[0] + float(kind.split()[1]) * v[300:800]
+    df = spark.createDataFrame([(i, x.tolist(), "extra") for i, x in enumerate(v)], "vec_id long, embedding array<double>, score string")
+    got = defaultdict(list)
+    for r in vp_search.nearest_neighbours(df, shard_rows=150).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == plain_neighbours(v, np.arange(1500), 50)
+
+
+def test_recall_of_relaxed_factors(spark):
+    rng = np.random.RandomState(8)
+    v = rng.randn(12, 16)[rng.randint(0, 12, 3000)] + 0.4 * rng.randn(3000, 16)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    want = plain_neighbours(v, np.arange(3000), 50)
+    recall = {}
+    for factor in (1.0, 1.5, 2.0):
+        got = defaultdict(set)
+        for r in vp_search.nearest_neighbours(df, shard_rows=400, factor=factor).collect():
+            got[r.query_id].add(r.vec_id)
+        recall[factor] = sum(len(got[q] & {i for i, _ in w}) for q, w in want.items()) / sum(map(len, want.values()))
+    print("recall", recall)
+    assert recall[1.0] == 1 and recall[1.5] >= 0.9 and recall[2.0] >= 0.6
+
+
 def test_classifiers_learn_and_stand_awkward_rows(spark, docs, none):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -260,6 +361,47 @@ def test_nonnegative_risk_stays_finite_on_saturated_scores():
     assert np.isfinite(w).all() and (p[0] @ w + b) > 1 and (-p[0] @ w + b) < -1
 
 
+def test_prior_from_positive_and_unlabelled_text():
+    rng = np.random.RandomState(9)
+    for share in (0.3, 0.6, 0.9):
+        p, u = rng.randn(2000, quality.WIDTH).astype(np.float32) * 0.05, rng.randn(3000, quality.WIDTH).astype(np.float32) * 0.05
+        good = rng.rand(3000) < share
+        p[:, 0] += 3
+        u[:, 0] += np.where(good, 3, -3)
+        assert abs(quality.estimate_prior(p, u) - share) < 0.06
+
+
+def plain_score(word, piece):
+    """The probability of a word as the sum over all ways to cut it."""
+    if not word:
+        return 1.0
+    return sum(piece.get(word[:n], lang_id.UNKNOWN if n == 1 else 0) * plain_score(word[n:], piece) for n in range(1, len(word) + 1))
+
+
+def test_predictions_equal_a_plain_forward_sum(spark):
+    """The fitted model's log-likelihoods of whole texts against the recursive sum over all segmentations, and a language without spaces."""
+    rows = [(i, " ".join(["haus und baum", "le chat noir", "ooooo"][i % 3].split() * (1 + i % 4)) if i % 3 < 2 else "天地玄黄" * (10 + i % 5), ["de", "fr", "zh"][i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(docs, "doc_id", "text", "lang", 50, lang_id.public_pieces())
+    for k, lang in enumerate(model.languages):
+        piece = dict(zip(model.pieces, model.probs[k], strict=True))
+        for word in ("haus", "chat", "天地玄黄"):
+            assert np.isclose(model.word(word)[k], np.log(plain_score("▁" + word, piece))), (lang, word)
+    got = {r.doc_id: r.lang_pred for r in lang_id.predict_languages(docs).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_long_words_are_fitted_like_short_ones():
+    index = {"a": 0, "aa": 1, "b": 2, "▁": 3}
+    for word in ("▁aab", "▁aaaab"):
+        parts, prob = {word: lang_id.segments(word, index, 2)}, [0.3, 0.2, 0.4, 0.1]
+        one, two = np.zeros(4), np.zeros(4)
+        lang_id._plain_counts(parts[word], len(word), 2, prob, one)
+        lang_id._log_counts(parts[word], len(word), 2, prob, two)
+        assert np.allclose(one, two)
+    assert lang_id.fit_language({"▁" + "ab" * 400: 1}, index, 2)[2] > 0.3
+
+
 def test_forward_sums_all_segmentations():
     model = lang_id.LanguageModel(["x"], ["a", "aa", "▁", "▁a"], np.array([[0.1, 0.2, 0.3, 0.4]]))
     # ▁|a|a + ▁|aa + ▁a|a
@@ -284,6 +426,21 @@ def test_mixing_meets_its_targets(spark, docs, none):
     assert mixed.columns == docs.columns and mixed.where("doc_id is not null").select("doc_id").distinct().count() == len({d[0] for d in DOCS}) - 1
 
 
+def test_rates_equal_plain_least_squares(spark):
+    """The rates of a small table against a long plain projected gradient on the same problem."""
+    rng = np.random.RandomState(7)
+    p = rng.dirichlet([0.5, 0.5, 0.5], 60)
+    n = rng.randint(1, 50, 60)
+    known = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
+    steps, available, target, reached = mixing.fit_rates(known, ["a", "b", "c"], {"a": 0.6, "b": 0.3, "c": 0.1}, 0.5, 0.0, 300, 1e-6)
+    r = mixing.replay(p, steps, 0.0)
+    inverse, plain = np.linalg.inv((p * n[:, None]).T @ p), np.ones(60)
+    for _ in range(20_000):
+        plain = np.maximum(0, plain - p @ (inverse @ ((n * plain) @ p - target)))
+    assert np.allclose((n * r) @ p, target, rtol=1e-5) and np.allclose((n * plain) @ p, target, rtol=1e-5) and np.allclose(available, n @ p)
+    assert (r >= 0).all() and np.corrcoef(r, plain)[0, 1] > 0.98
+
+
 @pytest.mark.parametrize(("shares", "weights"), [([0.97, 0.0295, 0.0002, 0.0002, 0.0001], [0.9, 0.0985, 0.0005, 0.0005, 0.0005]), ([0.99989, 1e-4, 1e-5], None)])
 def test_mixing_meets_small_targets(spark, shares, weights):
     rng = np.random.RandomState(4)
