@@ -11,35 +11,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroba.llm import exact_dedup, mixing, near_dup, packing, quality
-from corroba.llm.common import SPACE, stored, table
+from corroba.llm.common import SPACE, free_name, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier rejects go."""
+    """Documents that the positive-unlabelled classifier rejects go.
+
+    Null and empty texts are scored like any others, repeated rows and ties fare
+    alike, an empty table stays empty, extra columns pass whatever their names.
+    """
     scored = quality.quality_scores(docs, table(spark, sf_dir, "labels"), keep_rows=True)
-    return scored.where("__predicted = 1").drop("__predicted")
+    verdict = scored.columns[-1]
+    return scored.where(F.col(verdict) == 1).drop(verdict)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
+    """Of equal texts (null is empty) the rows with the smallest id stay.
+
+    Rows are dropped by id and text, so that another text of the same id stays;
+    rows that repeat id and text stay together. An empty table stays empty.
+    """
     gone = exact_dedup.exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "), 256)
-    return docs.withColumn("__own", sha).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_anti").drop("__own")
+    own = free_name(docs, "own")
+    rows = docs.withColumn(own, sha)
+    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]) & (rows[own] == gone["__sha"]), "left_anti").drop(own)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays.
+
+    Rows go by id and text, so that another text of the same id stays; rows that
+    repeat id and text stay together. Null and empty texts link with nothing. An
+    empty table stays empty, extra columns pass whatever their names.
+    """
+    gone = near_dup.near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    own = free_name(docs, "own")
+    rows = docs.withColumn(own, near_dup.text_hash("text"))
+    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]) & (rows[own] == gone["__hash"]), "left_anti").drop(own)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Languages get the square root of their share of tokens; with the floor of 1 documents are repeated and none is lost."""
+    """Languages get the square root of their share of tokens; with the floor of 1 documents are repeated and none is lost.
+
+    A null language is unlabelled, a null text has no tokens, ties have equal
+    rates. An empty table stays empty, extra columns pass whatever their names.
+    """
     return mixing.mix(docs, floor=1.0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, a row a piece."""
+    """Sequences of at most 2048 tokens, a row a piece; null and empty texts are the end id alone, repeated rows are packed each, an empty table gives no rows."""
     return packing.pack_best_fit(docs)
 
 
