@@ -26,16 +26,51 @@ def conflict_free(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.join(l1, left, "left_semi").join(r1, right, "left_semi")
 
 
-def range_first(rows: DataFrame, value: str, ranges: DataFrame, low: str, high: str, order: str, ident: list[str], bucket: float) -> DataFrame:
-    """Each row with the first range (by ``order``) that holds its value, both ends included.
+def range_first(rows: DataFrame, value: str, ranges: DataFrame, low: str, high: str, order: str, ident: list[str], bucket: float, small: int = 10_000) -> DataFrame:
+    """Each row with the first range (by ``order``, one range each) that holds its value, both ends included; rows without one are left out.
 
-    Ranges are cut into buckets of the given width, so the join is an equi join on
-    the bucket and its cost follows the overlaps.
+    Ranges are cut into buckets of the given width, and a bucket's ranges are kept
+    in one array in order. At most ``small`` buckets are broadcast, so that the rows
+    stay where they are and none is grouped again; more are joined by the bucket.
     """
     cells = ranges.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / bucket).cast("long"), F.floor(F.col(high) / bucket).cast("long"))))
-    hit = rows.withColumn("__b", F.floor(F.col(value) / bucket).cast("long")).join(cells, "__b").where(F.col(value).between(F.col(low), F.col(high)))
-    first = Window.partitionBy(*ident).orderBy(order)
-    return hit.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r", "__b")
+    held = cells.groupBy("__b").agg(F.array_sort(F.collect_list(F.struct(order, low, high, *(c for c in ranges.columns if c not in (order, low, high))))).alias("__ranges"))
+    if held.count() <= small:
+        held = F.broadcast(held)
+    hit = rows.withColumn("__b", F.floor(F.col(value) / bucket).cast("long")).join(held, "__b")
+    first = F.get(F.filter("__ranges", lambda r: F.col(value).between(r[low], r[high])), F.lit(0))
+    return hit.withColumn("__hit", first).where("__hit is not null").select(*rows.columns, "__hit.*")
+
+
+def first_along(items: DataFrame, path: DataFrame, table: DataFrame, item: str, owner: str, rank: str) -> DataFrame:
+    """Member resolution: each item with the row of ``table`` of the first owner along its path that has the member. items: item and the table's other key columns; path: item's start, owner, rank."""
+    keys = [c for c in items.columns if c in table.columns and c != owner]
+    found = items.join(path, [c for c in items.columns if c in path.columns]).join(table, [owner, *keys])
+    first = Window.partitionBy(item).orderBy(rank, owner)
+    return found.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+
+
+def interval_stab(points: DataFrame, point: str, intervals: DataFrame, low: str, high: str, keys: list[str], bucket: int) -> DataFrame:
+    """Points with every interval of their keys that covers them: low <= point < high."""
+    cells = intervals.where(F.col(low) < F.col(high)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / bucket).cast("long"), F.floor((F.col(high) - 1) / bucket).cast("long"))))
+    return points.withColumn("__b", F.floor(F.col(point) / bucket).cast("long")).join(cells, [*keys, "__b"]).where((F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))).drop("__b")
+
+
+def suppressed_union(own: DataFrame, embedded: DataFrame, key: str) -> DataFrame:
+    """Own rows, and embedded ones whose key the own rows do not cover."""
+    return own.unionByName(embedded.join(own.select(key).distinct(), key, "left_anti"))
+
+
+def first_per_key(left: DataFrame, right: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Each left row with the first matching right row in a total order."""
+    first = right.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__r = 1").drop("__r")
+    return left.join(first, key)
+
+
+def pairs_within(rows: DataFrame, keys: list[str], ident: str, columns: list[str]) -> DataFrame:
+    """Self join: pairs of rows of one group, the smaller id first; keys and ``columns`` with suffix 1 and 2."""
+    one, two = (rows.select(*keys, *(F.col(c).alias(f"{c}{i}") for c in [ident, *columns])) for i in (1, 2))
+    return one.join(two, keys).where(F.col(f"{ident}1") < F.col(f"{ident}2"))
 
 
 def last_before(column: Column, partition: list[str], order: list[str], inclusive: bool = False) -> Column:

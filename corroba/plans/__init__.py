@@ -1 +1,5 @@
-"""Registered queries: each applies operators to whole tables and has SQL beside it."""
+"""Registered queries over the tables, each with the same query in SQL where SQL can express it."""
+
+from corroba.plans import mapping, matching, names, queries
+
+__all__ = ["mapping", "matching", "names", "queries"]

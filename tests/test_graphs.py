@@ -6,27 +6,95 @@ import pytest
 from pyspark.sql import functions as F
 
 from corroba.operators import graphs, joins, votes
-from corroba.plans.queries import closure_depth, short_unique_names, topo_layers
-
-
-def sequential(items):
-    taken, out = set(), {}
-    for digest, key in sorted((h, k) for k, h in items.items()):
-        n = next(n for n in range(4, 17) if digest[:n] not in taken)
-        taken.add(digest[:n])
-        out[key] = digest[:n]
+from corroba.plans.queries import closure_depth, highest_version_select, short_unique_names, topo_layers
+
+
+def sequential(items, taken=()):
+    """Names of (digest, hint, key, space) items in order; ties are numbered."""
+    taken, out, items = set(taken), {}, sorted(items)
+    for digest, hint, key, space in items:
+        run = [k for d, h, k, _ in items if (d, h) == (digest, hint)]
+        suffix = f"_{run.index(key) + 1}" if len(run) > 1 else ""
+        head = f"{hint}_" if hint else ""
+        n = next((n for n in range(4, len(digest) + 1) if (space, f"{head}{digest[:n]}{suffix}") not in taken), len(digest))
+        out[key] = f"{head}{digest[:n]}{suffix}"
+        taken.add((space, out[key]))
     return out
 
 
-def test_prefixes_equal_the_sequential_rule(spark):
-    rows = spark.range(3000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("h")).withColumn("h", F.concat(F.substring("h", 1, 2), F.substring("h", 10, 20)))
-    want = sequential({r.k: r.h for r in rows.collect()})
-    assert {r.k: r.name for r in graphs.unique_prefixes(rows, "k", "h").collect()} == want
+@pytest.mark.parametrize("hinted", [False, True])
+def test_prefixes_equal_the_sequential_rule(spark, hinted):
+    rows = spark.range(1500).select(F.col("id").alias("k"), F.sha2((F.col("id") % 1400).cast("string"), 256).alias("h")).withColumn("h", F.concat(F.substring("h", 1, 2), F.substring("h", 10, 6)))
+    hint, space = (F.when(F.col("k") % 2 == 0, "a").otherwise("b"), (F.col("k") % 3).cast("string")) if hinted else (None, None)
+    items = [(r.h, ("a" if r.k % 2 == 0 else "b") if hinted else None, r.k, str(r.k % 3) if hinted else "") for r in rows.collect()]
+    items = [(h, x or "", k, s) for h, x, k, s in items]
+    taken = [(s, f"{x}_{h[:4]}" if x else h[:4]) for h, x, k, s in items if k % 40 == 0]
+    used = spark.createDataFrame(taken, "space string, name string")
+    got = graphs.assign_names(rows, "k", "h", hint, space, used).collect()
+    assert {r.k: r.name for r in got} == sequential(items, taken)
 
 
 def test_prefix_query(spark):
-    got = {r.p_partkey: r.name for r in short_unique_names(spark, "/root/testdata/sf0.001").collect()}
-    assert got == sequential({k: hashlib.sha256(str(k).encode()).hexdigest() for k in got})
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()
+    want = sequential([(hashlib.sha256(r.p_name.encode()).hexdigest(), r.p_brand[:3].lower(), r.p_partkey, str(r.p_size % 3)) for r in part])
+    assert {r.p_partkey: r.name for r in short_unique_names(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def sequential_selection(requests, pins, constraints=()):
+    """The rule one module at a time, as a plain loop."""
+    want = dict(pins)
+    for _ in range(64):
+        at, new, walked = dict(pins), {}, None
+        while walked != at:
+            walked, new = at, {}
+            for m, v, needs, asked in requests:
+                if walked.get(m) == v and needs not in pins:
+                    new[needs] = max(new.get(needs, asked), asked)
+            at = dict(pins) | {k: want.get(k, v) for k, v in new.items()}
+        chosen = dict(pins) | {k: max(v, want.get(k, v)) for k, v in new.items()}
+        for m, v, needs, asked in constraints:
+            if at.get(m) == v and needs in at and needs not in pins:
+                chosen[needs] = max(chosen[needs], asked)
+        if chosen == want:
+            return want
+        want = chosen
+    raise RuntimeError
+
+
+@pytest.mark.parametrize(
+    ("requests", "pins", "constraints", "want"),
+    [
+        # a1 asks b1, c asks b2; b1's d leaves with b1
+        ([("a", 1, "b", 1), ("a", 1, "c", 1), ("b", 1, "d", 1), ("c", 1, "b", 2), ("b", 2, "e", 1)], {"a": 1}, [], {"a": 1, "b": 2, "c": 1, "e": 1}),
+        # b and c upgrade each other
+        ([("a", 1, "b", 1), ("a", 1, "c", 1), ("b", 1, "c", 2), ("c", 2, "b", 2), ("b", 2, "c", 2)], {"a": 1}, [], {"a": 1, "b": 2, "c": 2}),
+        # a pin blocks an upgrade, a constraint raises what is there and adds nothing
+        ([("a", 1, "b", 3), ("a", 1, "c", 1)], {"a": 1, "b": 1}, [("a", 1, "c", 5), ("a", 1, "x", 1)], {"a": 1, "b": 1, "c": 5}),
+        ([], {"a": 1}, [], {"a": 1}),
+    ],
+)
+def test_selection_follows_the_rule(spark, requests, pins, constraints, want):
+    schema = "module string, version int, needs string, needs_version int"
+    got = graphs.select_versions(spark.createDataFrame(requests, schema), spark.createDataFrame(list(pins.items()), "module string, version int"), spark.createDataFrame(constraints, schema))
+    assert {r.module: r.version for r in got.collect()} == want == sequential_selection(requests, pins, constraints)
+
+
+def test_selection_query(spark):
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()
+    requests = {(r.p_partkey % 200, r.p_size % 6, (r.p_partkey * 7 + 3) % 200, (r.p_size * 5 + r.p_partkey) % 6) for r in part if r.p_partkey % 3 > 0}
+    rules = {(r.p_partkey % 200, r.p_size % 6, (r.p_partkey * 11 + 1) % 200, 6) for r in part if r.p_partkey % 17 == 0}
+    pins = {}
+    for r in part:
+        if r.p_partkey % 200 < 5:
+            pins[r.p_partkey % 200] = min(pins.get(r.p_partkey % 200, 9), r.p_size % 6)
+    got = highest_version_select(spark, "/root/testdata/sf0.001").collect()
+    assert {r.module: r.version for r in got} == sequential_selection(requests, pins, rules)
+
+
+def test_redirected_closure(spark):
+    e = spark.createDataFrame([("a", "b"), ("c", "d"), ("x", "y")], "src string, dst string")
+    got = graphs.redirected(e, spark.createDataFrame([("b", "c")], "src string, dst string"), spark.createDataFrame([("a",)], "node string"))
+    assert sorted(r.node for r in got.collect()) == ["a", "b", "c", "d"]
 
 
 def test_closure_of_a_cycle_ends(spark):
