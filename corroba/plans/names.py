@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corroba.functions import names
+from corroba.functions import encoding, names
 from corroba.operators import graphs
 from corroba.plans.queries import query, t
 
@@ -163,3 +163,25 @@ def kept_names(spark, d):
     targets = _targets(g).withColumn("target", F.lit(True))
     out = g.join(above, "id", "left").join(F.broadcast(targets), "pkg", "left")
     return out.select("id", (F.col("fields") + F.coalesce("above", F.lit(0)) + 64).cast("long").alias("field_bound"), (~F.col("small")).alias("name_kept"), (~F.col("small") & F.col("target").isNull()).alias("package_kept"))
+
+
+# Encodings
+
+
+@query("""
+SELECT o_orderkey, (o_orderkey * o_orderkey - 7 * o_custkey)::BIGINT AS number, 1 + (CASE WHEN o_orderkey >= 128 THEN 1 ELSE 0 END) + (CASE WHEN o_orderkey >= 16384 THEN 1 ELSE 0 END) + (CASE WHEN o_orderkey >= 2097152 THEN 1 ELSE 0 END) + (CASE WHEN o_orderkey >= 268435456 THEN 1 ELSE 0 END) AS bytes, o_orderpriority || chr(128512) || o_orderstatus AS text, strlen(o_orderpriority) + 6 + strlen(o_orderstatus) AS text_bytes FROM orders
+""")
+def binary_encodings(spark, d):
+    """Signed numbers and texts with a character beyond U+FFFF there and back, and the lengths of both codes."""
+    o = t(spark, d, "orders").selectExpr("o_orderkey", "o_orderkey * o_orderkey - 7 * o_custkey n", "concat(o_orderpriority, decode(unhex('F09F9880'), 'utf-8'), o_orderstatus) x")
+    return o.select("o_orderkey", encoding.from_sleb128(encoding.sleb128("n")).alias("number"), F.octet_length(encoding.uleb128("o_orderkey")).alias("bytes"), encoding.from_mutf8(encoding.mutf8("x")).alias("text"), F.octet_length(encoding.mutf8("x")).cast("long").alias("text_bytes"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, 'C' || l_suppkey AS ref, c_custkey AS resolved, c_custkey IS NULL AS is_library FROM lineitem LEFT JOIN (SELECT DISTINCT c_custkey FROM customer) ON c_custkey = l_suppkey * 20
+""")
+def name_resolution(spark, d):
+    """References with the class they name, or none: then it is the library's."""
+    c = t(spark, d, "customer").select("c_custkey").distinct()
+    line = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return line.join(c, F.col("c_custkey") == F.col("l_suppkey") * 20, "left").select("l_orderkey", "l_linenumber", F.concat(F.lit("C"), "l_suppkey").alias("ref"), F.col("c_custkey").alias("resolved"), F.col("c_custkey").isNull().alias("is_library"))

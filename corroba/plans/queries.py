@@ -67,14 +67,29 @@ def exact_cascade(spark, d):
 SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(' ' || regexp_replace(d.text, '\\s+', ' ', 'g') || ' ', ' ' || regexp_replace(b.text, '\\s+', ' ', 'g') || ' ')
 """.replace("\\\\", "\\"))
 def passage_containment(spark, d):
-    """Inverted lists of word quadruples, then the passage itself; an item of fewer words is its own key."""
+    """Inverted lists of the first four words of an item (all of a shorter one), then the passage itself.
+
+    A document's windows are hashed inside its row and only those that start an
+    item leave it; at most 100,000 items are kept as one array for that, more are
+    joined with all windows.
+    """
     norm = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"\s+", " "), F.lit(" "))
     words = F.split(F.trim(F.col("n")), " ")
-    items = t(spark, d, "benchmark").select("item_id", norm("text").alias("n")).withColumn("key", F.array_join(F.slice(words, 1, 4), " "))
+
+    def key(i, size):
+        return F.xxhash64(F.lit(size), *(F.get("w", i + j) for j in range(size)))
+
+    items = t(spark, d, "benchmark").select("item_id", norm("text").alias("n")).withColumn("w", words).withColumn("k", F.least(F.size("w"), F.lit(4)))
     docs = t(spark, d, "documents").where("text is not null").select("doc_id", norm("text").alias("n")).withColumn("w", words)
-    keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3)), lambda i: F.array_join(F.slice(F.col("w"), i, 4), " ")))).alias("key"))
-    hits = keys.join(items.select("item_id", "key", F.col("n").alias("item")), "key")
-    return hits.join(docs.select("doc_id", "n"), "doc_id").where(F.contains("n", "item")).select("item_id", "doc_id").distinct()
+    out = None
+    few = items.count() <= 100_000
+    for size in sorted(r.k for r in items.select("k").distinct().collect()):  # at most four
+        mine = items.where(F.col("k") == size).select("item_id", F.col("n").alias("item"), key(F.lit(0), size).alias("key"))
+        windows = F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - size)), lambda i: key(i, size)))
+        found = F.array_intersect(windows, mine.agg(F.collect_set("key")).scalar()) if few else F.array_distinct(windows)
+        hits = docs.select("doc_id", "n", F.explode(found).alias("key")).join(mine, "key").where(F.contains("n", "item")).select("item_id", "doc_id")
+        out = hits if out is None else out.union(hits)
+    return out.distinct() if out is not None else spark.createDataFrame([], "item_id long, doc_id long")
 
 
 @query("""
