@@ -120,3 +120,22 @@ def webs(insns: DataFrame, reads: DataFrame) -> DataFrame:
     nodes = insns.where("dst is not null").select(name(F.col("method"), F.col("idx")).alias("n")).union(reads.select(name(F.col("method"), F.col("def")))).distinct()
     found = graphs.components(nodes, "n", meet.union(moves), "a", "b")
     return found.select("node.method", "node.def", F.col("component.def").alias("web"))
+
+
+#: Fixed values of the line program: the first special opcode, the least line step and how many there are.
+FIRST_SPECIAL, LINE_BASE, LINE_RANGE = 0x0A, -4, 15
+
+
+def line_positions(program: DataFrame, start: DataFrame) -> DataFrame:
+    """(method, address, line): the positions that a debug line program emits, by running sums.
+
+    program: method, idx, code, arg (of codes 1 and 2: advance the address, the
+    line); special codes step both and emit. start: method, line.
+    """
+    special = F.col("code") >= FIRST_SPECIAL
+    step = F.col("code") - FIRST_SPECIAL
+    before = Window.partitionBy("method").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    address = F.when(special, F.floor(step / LINE_RANGE)).when(F.col("code") == 1, F.col("arg")).otherwise(0)
+    line = F.when(special, LINE_BASE + step % LINE_RANGE).when(F.col("code") == 2, F.col("arg")).otherwise(0)
+    rows = program.select("method", "idx", special.alias("emits"), F.sum(address).over(before).alias("address"), F.sum(line).over(before).alias("moved"))
+    return rows.where("emits").join(start, "method").select("method", "address", (F.col("line") + F.col("moved")).alias("line"))

@@ -313,3 +313,33 @@ def selected_packs(packs: DataFrame, build: DataFrame) -> DataFrame:
     reason = F.when(F.col("code") != F.col("bc"), "other code").when(F.col("app").isNotNull() & (F.col("app") != F.col("ba")), "other app").when(F.col("profile") != F.col("bp"), "other profile").when(F.col("r") > 1, "not the first")
     return out.select("pack", "code", "app", reason.alias("reason"))
 
+
+
+#: Operations that say nothing about what a body does.
+SILENT = ["move", "move-result", "goto", "nop"]
+
+
+def body_tokens(insns: DataFrame) -> DataFrame:
+    """(method, ops, refs, strings, nums, callees, informative): what a body's fingerprint is made of.
+
+    insns: method, idx, op, ref, stable (the reference keeps its name), string, num,
+    callee. Operations, references and callees stay in order; strings and numbers
+    are sorted with repeats; numbers from -1 to 1 and silent operations are left
+    out. A body is informative with 8 operations, a string or two stable references.
+    """
+    loud = ~F.col("op").isin(SILENT)
+    ordered = lambda keep, value: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("idx", value.alias("x"))))), lambda r: r["x"])
+    ref = F.when(F.col("stable"), F.col("ref")).otherwise(F.lit("?"))
+    out = insns.groupBy("method").agg(
+        ordered(loud, F.col("op")).alias("ops"), ordered(F.col("ref").isNotNull(), ref).alias("refs"), F.array_sort(F.collect_list("string")).alias("strings"),
+        F.array_sort(F.collect_list(F.when(~F.col("num").between(-1, 1), F.col("num")))).alias("nums"), ordered(F.col("callee").isNotNull(), F.col("callee")).alias("callees"),
+        F.count_if(F.col("ref").isNotNull() & F.col("stable")).alias("stable_refs"),
+    )
+    return out.withColumn("informative", (F.size("ops") >= 8) | (F.size("strings") > 0) | (F.col("stable_refs") >= 2)).drop("stable_refs")
+
+
+def body_hashes(tokens: DataFrame, proto: Column) -> DataFrame:
+    """(method, all_h, strings_h, proto_h): hashes of everything, of the strings (null without any) and of the erased prototype."""
+    join = lambda c, by: F.array_join(F.transform(c, lambda x: x.cast("string")), by)
+    rows = tokens.withColumn("proto", proto)
+    return rows.select("method", _parts(join("ops", " "), join("refs", " "), join("strings", "\u0002"), join("nums", ","), F.col("proto")).alias("all_h"), F.when(F.size("strings") > 0, _parts(join("strings", "\u0002"))).alias("strings_h"), _parts(F.col("proto")).alias("proto_h"))

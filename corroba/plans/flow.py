@@ -102,3 +102,15 @@ def register_kinds(spark, d):
 def path_constants(spark, d):
     """Literals that reads may see; tests/test_flow.py compares them with all paths."""
     return tables.known_constants(_insns(spark, d))
+
+
+@query("""
+WITH p AS (SELECT user_id AS method, event_id AS idx, CASE WHEN event_id % 5 < 2 THEN event_id % 5 + 1 ELSE 10 + event_id % 240 END AS code, event_id % 9 - 3 AS arg, ts FROM events),
+s AS (SELECT *, sum(CASE WHEN code >= 10 THEN (code - 10) // 15 WHEN code = 1 THEN abs(arg) ELSE 0 END) OVER w AS address, sum(CASE WHEN code >= 10 THEN -4 + (code - 10) % 15 WHEN code = 2 THEN arg ELSE 0 END) OVER w AS moved FROM p WINDOW w AS (PARTITION BY method ORDER BY idx))
+SELECT method, address::BIGINT AS address, (100 + moved)::BIGINT AS line FROM s WHERE code >= 10
+""")
+def line_positions(spark, d):
+    """Events of a user as a debug line program that starts at line 100."""
+    e = t(spark, d, "events")
+    p = e.selectExpr("user_id method", "event_id idx", "if(event_id % 5 < 2, event_id % 5 + 1, 10 + event_id % 240) code", "if(event_id % 5 = 0, abs(event_id % 9 - 3), event_id % 9 - 3) arg")
+    return tables.line_positions(p, e.selectExpr("user_id method", "100L line").distinct()).select("method", "address", "line")

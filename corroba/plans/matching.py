@@ -248,3 +248,17 @@ def class_shapes(spark, d):
     interfaces = line.selectExpr("l_orderkey class", "concat('I', l_suppkey % 5) name", "l_suppkey % 5 < 3 stable")
     fields = line.selectExpr("l_orderkey class", "if(l_partkey % 3 = 0, 'I', 'L?;') ty", "l_linenumber % 2 = 0 static")
     return matching.class_shapes(orders.selectExpr("o_orderkey class", "o_orderkey % 2 kind"), up, interfaces, fields)
+
+
+@query("""
+WITH i AS (SELECT l_orderkey AS method, l_linenumber AS idx, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL),
+x AS (SELECT method, idx, ['move', 'add', 'call', 'const', 'goto', 'get'][(p % 6)::INT + 1] AS op, CASE WHEN p % 6 IN (2, 5) THEN CASE WHEN s % 2 = 0 THEN 'R' || (s % 9) ELSE '?' END END AS ref, p % 6 IN (2, 5) AND s % 2 = 0 AS st, CASE WHEN p % 30 = 3 THEN 'text' || (s % 5) END AS str, CASE WHEN p % 6 = 3 THEN s % 4 - 1 END AS num, CASE WHEN p % 6 = 2 THEN 'c' || (s % 7) END AS callee FROM i),
+g AS (SELECT method, coalesce(string_agg(op, ' ' ORDER BY idx) FILTER (op NOT IN ('move', 'goto')), '') AS ops, coalesce(string_agg(ref, ' ' ORDER BY idx), '') AS refs, coalesce(string_agg(str, chr(2) ORDER BY str), '') AS strings, coalesce(string_agg(num::VARCHAR, ',' ORDER BY num) FILTER (num NOT BETWEEN -1 AND 1), '') AS nums, coalesce(string_agg(callee, ',' ORDER BY idx), '') AS callees, count(*) FILTER (op NOT IN ('move', 'goto')) AS n, count(str) AS k, count(*) FILTER (st) AS stable FROM x GROUP BY method)
+SELECT method, callees, n >= 8 OR k > 0 OR stable >= 2 AS informative, substr(sha256(array_to_string([ops, refs, strings, nums, '(I)V'], chr(1))), 1, 16) AS all_h, CASE WHEN k > 0 THEN substr(sha256(strings), 1, 16) END AS strings_h, substr(sha256('(I)V'), 1, 16) AS proto_h FROM g
+""")
+def body_tokens(spark, d):
+    """Tokens of every order as a body, and the hashes made from them."""
+    i = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("method"), F.col("l_linenumber").alias("idx")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    x = i.selectExpr("method", "idx", "element_at(array('move', 'add', 'call', 'const', 'goto', 'get'), cast(p % 6 + 1 as int)) op", "if(p % 6 in (2, 5), concat('R', s % 9), null) ref", "s % 2 = 0 stable", "if(p % 30 = 3, concat('text', s % 5), null) string", "if(p % 6 = 3, s % 4 - 1, null) num", "if(p % 6 = 2, concat('c', s % 7), null) callee")
+    tokens = matching.body_tokens(x)
+    return tokens.join(matching.body_hashes(tokens, F.lit("(I)V")), "method").select("method", F.array_join("callees", ",").alias("callees"), "informative", "all_h", "strings_h", "proto_h")
