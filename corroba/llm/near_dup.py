@@ -252,13 +252,13 @@ def _within_clusters(mixed: DataFrame, texts: DataFrame, words: int, percent: in
     return _block_links(rows.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "digest"), words, percent, k, floor)
 
 
-def _at_cells(entries: DataFrame, cells: DataFrame) -> DataFrame:
-    """Entries with what ``cells`` says of their (v, band); cells without a row there are left out. ``cells`` has ``entries``, their number."""
-    total = entries.count()
+def _at_cells(entries: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ("v", "band")) -> DataFrame:
+    """Entries with what ``cells`` says of their key; keys without a row there are left out. ``cells`` has ``entries``, their number: keys with over a thousandth of all are broadcast to their entries, so that no task gets a hot one."""
+    total, keys = entries.count(), list(keys)
     cells = stored(cells, "cells")
     hot = cells.where(F.col("entries") > total // 1000)  # under a thousand
-    cold = entries.join(F.broadcast(hot.select("v", "band")), ["v", "band"], "left_anti").join(cells.where(F.col("entries") <= total // 1000), ["v", "band"])
-    return entries.join(F.broadcast(hot), ["v", "band"]).select(cold.columns).union(cold).drop("entries")
+    cold = entries.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cells.where(F.col("entries") <= total // 1000), keys)
+    return entries.join(F.broadcast(hot), keys).select(cold.columns).union(cold).drop("entries")
 
 
 def near_duplicates(
@@ -335,10 +335,10 @@ def near_duplicates(
 
     named = classes.select("digest", "rep", "copies", "n")
     named = with_component(named)
-    linked_only = named.where("component <> digest or copies > 1").select("component").union(named.where("component <> digest").select("component")).distinct()
-    groups = named.join(linked_only, "component", "left_semi")
-    smallest = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = stored(groups.join(smallest, "component").select("digest", "component_id"), "ids")
+    # Components of several rows; others stand for themselves.
+    several = F.max(F.col("component") != F.col("digest")) | (F.max("copies") > 1)
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("entries"), several.alias("several")).where("several").drop("several")
+    ids = stored(_at_cells(named, smallest, ("component",)).select("digest", "component_id"), "ids")
     discard(docs.sparkSession, texts, lists, deep)
     return (
         rows.select("doc_id", "n_shingles", "digest", "text_hash")
