@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corroba.llm.common import stored
+
 BUCKETS = 2048
 #: log of bytes; shares of upper case, digits, other ASCII signs, white space, line feeds, bytes beyond ASCII; share of distinct words, of distinct pairs, of distinct lines; mean word length; share of the most common word; words that end in a sign.
 SHAPE = 13
@@ -71,6 +73,31 @@ def feature_rows(rows: DataFrame, columns: list[str], text_col: str) -> DataFram
     return kept.mapInArrow(run, schema)
 
 
+def smallest_hashes(named: DataFrame, n: int, seed: int) -> DataFrame:
+    """(__id, __by) of at most ``n`` ids for each value of ``__by``, those with the smallest hash; ``named``: __id, __by, few values of ``__by``.
+
+    Only ids under a cut of their hash are ranked, about ``4 * n`` of each value
+    however many there are; a cut that leaves too few is raised and tried again.
+    """
+    at = F.pmod(F.xxhash64(F.lit(seed), "__id"), F.lit(1 << 40))
+    sizes = {r[0]: r[1] for r in named.groupBy("__by").agg(F.count("*")).collect()}
+    cut = {by: min(1.0, 4 * n / size) for by, size in sizes.items()}
+    found = None
+    while cut:
+        limits = F.create_map(*(F.lit(x) for by, share in cut.items() for x in (by, int(share * (1 << 40)))))
+        some = stored(named.withColumn("__at", at).where(F.col("__at") < limits[F.col("__by")]).distinct(), "cut")
+        counts = {r[0]: r[1] for r in some.groupBy("__by").agg(F.count("*")).collect()}
+        short = {by: min(1.0, 16 * share) for by, share in cut.items() if share < 1 and counts.get(by, 0) < n}
+        fine = [by for by in cut if by not in short]
+        kept = some.where(F.col("__by").isin(fine))
+        found = kept if found is None else found.union(kept)
+        cut = short
+    if found is None:
+        return named.limit(0)
+    first = Window.partitionBy("__by").orderBy("__at", "__id")
+    return found.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n).select("__id", "__by")
+
+
 def small_sample(rows: DataFrame, id_col: str, text_col: str, n: int, seed: int, ids: DataFrame | None = None, by: str | None = None) -> tuple[np.ndarray, list]:
     """Features of the whole texts of at most ``n`` ids, those with the smallest hash, and their values of ``by``; in id order, so that fits repeat.
 
@@ -84,9 +111,7 @@ def small_sample(rows: DataFrame, id_col: str, text_col: str, n: int, seed: int,
         chosen = pool.select(F.col(id_col).alias("__id")).orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(n).distinct()
         kept, columns = rows.select(F.col(id_col).alias("__id"), F.lit("").alias("__by"), F.col(text_col).alias("__text")), ["__id"]
     else:
-        first = Window.partitionBy("__by").orderBy(F.xxhash64(F.lit(seed), "__id"), "__id")
-        named = pool.select(F.col(id_col).alias("__id"), F.col(by).cast("string").alias("__by")).where("__by is not null")
-        chosen = named.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n).select("__id", "__by").distinct()
+        chosen = smallest_hashes(pool.select(F.col(id_col).alias("__id"), F.col(by).cast("string").alias("__by")).where("__by is not null"), n, seed)
         kept, columns = rows.select(F.col(id_col).alias("__id"), F.col(by).cast("string").alias("__by"), F.col(text_col).alias("__text")), ["__id", "__by"]
     found = feature_rows(kept.join(F.broadcast(chosen), columns, "left_semi"), ["__id", "__by"], "__text")
     once = found.groupBy("__id", "__by").agg(F.min("x").alias("x"))

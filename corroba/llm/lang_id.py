@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corroba.llm.common import crc32_fold, text_batches
+from corroba.llm.features import smallest_hashes
 from corroba.llm.tokens import vocabulary
 
 PIECES = "piece_bpe_32k.model"
@@ -232,10 +233,8 @@ def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     langs.sort()
-    # One pass: the ids with the smallest hashes of every language; at most per_language times MAX_LANGUAGES of them.
-    first = Window.partitionBy("__lang").orderBy(F.xxhash64(F.lit(5), "__id"), "__id")
-    named = rows.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"))
-    chosen = named.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= per_language).select("__id", "__lang").distinct() if langs else None
+    named = rows.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__by"))
+    chosen = smallest_hashes(named, per_language, 5).withColumnRenamed("__by", "__lang") if langs else None  # at most per_language times MAX_LANGUAGES
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     if chosen is not None:
         texts = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text"))

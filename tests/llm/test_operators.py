@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corroba.llm import chat, exact_dedup, lang_id, mixing, near_dup, packing, quality, shingles, token_files, tokens, vp_search, warc
+from corroba.llm import chat, exact_dedup, features, lang_id, mixing, near_dup, packing, quality, shingles, token_files, tokens, vp_search, warc
 from corroba.llm.common import new_path
 from corroba.llm.components import connected_components
 
@@ -426,6 +426,17 @@ def test_mixing_meets_its_targets(spark, docs, none):
     assert mixed.columns == docs.columns and mixed.where("doc_id is not null").select("doc_id").distinct().count() == len({d[0] for d in DOCS}) - 1
 
 
+def test_samples_are_the_smallest_hashes(spark):
+    """A large domain, a small one, and one whose rows repeat one id, so that the first cut leaves too few."""
+    rows = [(i, "large") for i in range(3000)] + [(i, "small") for i in range(5)] + [(7, "hot")] * 2000 + [(i, "hot") for i in range(30)]
+    named = spark.createDataFrame(rows, "__id long, __by string")
+    got = defaultdict(set)
+    for r in features.smallest_hashes(named, 20, 3).collect():
+        got[r["__by"]].add(r["__id"])
+    at = {r[0]: r[1] for r in named.select("__id", F.pmod(F.xxhash64(F.lit(3), "__id"), F.lit(1 << 40))).distinct().collect()}
+    assert got == {by: set(sorted({i for i, b in rows if b == by}, key=at.__getitem__)[:20]) for by in ("large", "small", "hot")}
+
+
 def test_rates_equal_plain_least_squares(spark):
     """The rates of a small table against a long plain projected gradient on the same problem."""
     rng = np.random.RandomState(7)
