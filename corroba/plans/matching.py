@@ -224,14 +224,15 @@ def merged_records(spark, d):
 
 
 @query("""
-WITH k AS (SELECT DISTINCT s_nationkey AS function, s_suppkey % 40 AS key FROM supplier), c AS (SELECT DISTINCT l_orderkey AS site, l_suppkey % 40 AS key FROM lineitem),
+WITH k AS (SELECT DISTINCT s_suppkey // 2 AS function, s_suppkey AS key FROM supplier UNION SELECT s_suppkey // 2, s_suppkey + 2 FROM supplier WHERE s_suppkey % 6 = 0), c AS (SELECT DISTINCT l_orderkey AS site, l_suppkey AS key FROM lineitem),
 o AS (SELECT key, count(DISTINCT function) AS owners FROM k GROUP BY key), z AS (SELECT function, count(*) AS size FROM k GROUP BY function),
 w AS (SELECT site, function FROM c JOIN k USING (key) JOIN o USING (key) JOIN z USING (function) GROUP BY site, function, size HAVING count(*) = size AND count(*) FILTER (owners = 1) >= 2)
 SELECT * FROM w WHERE site IN (SELECT site FROM w GROUP BY site HAVING count(*) = 1)
 """)
 def identified_functions(spark, d):
-    k = t(spark, d, "supplier").selectExpr("s_nationkey function", "s_suppkey % 40 key")
-    return matching.identified(k, t(spark, d, "lineitem").selectExpr("l_orderkey site", "l_suppkey % 40 key"))
+    s = t(spark, d, "supplier")
+    k = s.selectExpr("s_suppkey div 2 function", "s_suppkey key").union(s.where("s_suppkey % 6 = 0").selectExpr("s_suppkey div 2", "s_suppkey + 2")).distinct()
+    return matching.identified(k, t(spark, d, "lineitem").selectExpr("l_orderkey site", "l_suppkey key"))
 
 
 @query("""

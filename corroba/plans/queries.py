@@ -112,16 +112,16 @@ def set_equality_match(spark, d):
 
 
 @query("""
-WITH s AS (SELECT DISTINCT l_suppkey AS supp, p_brand AS brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < TIMESTAMP '1994-01-01' AND l_quantity < 4),
-b AS (SELECT DISTINCT s_nationkey AS nation, p_brand AS brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 20),
+WITH s AS (SELECT DISTINCT l_suppkey AS supp, p_brand AS brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < TIMESTAMP '1996-01-01' AND l_quantity < 4),
+b AS (SELECT DISTINCT s_nationkey AS nation, p_brand AS brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49),
 n AS (SELECT supp, count(*) AS size FROM s GROUP BY supp), h AS (SELECT supp, nation, count(*) AS n FROM s JOIN b USING (brand) GROUP BY ALL)
 SELECT supp, nation FROM h JOIN n USING (supp) WHERE h.n = n.size
 """)
 def set_containment(spark, d):
     """Suppliers whose early brands are a subset of a nation's brands, by counting matches."""
     line, part, supp = t(spark, d, "lineitem"), t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand")), t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
-    a = line.where("l_shipdate < timestamp_ntz'1994-01-01' and l_quantity < 4").join(part, "l_partkey").select(F.col("l_suppkey").alias("supp"), "brand").distinct()
-    b = line.where("l_quantity > 20").join(supp, "l_suppkey").join(part, "l_partkey").select("nation", "brand").distinct()
+    a = line.where("l_shipdate < timestamp_ntz'1996-01-01' and l_quantity < 4").join(part, "l_partkey").select(F.col("l_suppkey").alias("supp"), "brand").distinct()
+    b = line.where("l_quantity > 49").join(supp, "l_suppkey").join(part, "l_partkey").select("nation", "brand").distinct()
     return a.join(b, "brand").groupBy("supp", "nation").agg(F.count("*").alias("n")).join(a.groupBy("supp").agg(F.count("*").alias("size")), "supp").where("n = size").select("supp", "nation")
 
 

@@ -100,17 +100,17 @@ def declared_above(spark, d):
 
 
 @query("""
-WITH f AS (SELECT DISTINCT l_orderkey AS o, 'f_' || l_linenumber || 'x' AS name, l_linenumber AS number FROM lineitem),
-m AS (SELECT o, list_sort(list(upper(name) || '=' || number)) AS k, count(*) AS n, CASE WHEN o % 3 = 0 THEN 'Message' || (o % 20) || 'q' ELSE 'Order' || o || 'q' END AS name FROM f WHERE o % 2 = 0 GROUP BY o),
+WITH f AS (SELECT DISTINCT l_orderkey AS o, 'f_' || l_linenumber || 'x' || (l_orderkey // 4) AS name, l_linenumber AS number FROM lineitem),
+m AS (SELECT o, list_sort(list(upper(name) || '=' || number)) AS k, count(*) AS n, CASE WHEN o % 3 = 0 THEN 'Message' || (o // 8) || 'q' ELSE 'Order' || o || 'q' END AS name FROM f WHERE o % 2 = 0 GROUP BY o),
 b AS (SELECT k, count(*) AS messages, min(name) AS found FROM m GROUP BY k HAVING count(DISTINCT name) = 1),
 c AS (SELECT o, list_sort(list(upper(name) || '=' || number)) AS k FROM f WHERE o % 3 < 2 GROUP BY o)
 SELECT o AS class, found, messages = 1 AND len(k) >= 3 AND count(*) OVER (PARTITION BY o % 10, found) = 1 AS proven FROM c JOIN b USING (k)
 """)
 def message_names(spark, d):
     """Definitions from even orders, classes from others: sets of field numbers that one message name has."""
-    f = t(spark, d, "lineitem").selectExpr("l_orderkey o", "concat('f_', l_linenumber, 'x') name", "cast(l_linenumber as bigint) number").distinct()
+    f = t(spark, d, "lineitem").selectExpr("l_orderkey o", "concat('f_', l_linenumber, 'x', l_orderkey div 4) name", "cast(l_linenumber as bigint) number").distinct()
     m = f.where("o % 2 = 0").groupBy("o").agg(F.collect_list(F.struct("name", "number")).alias("fields"))
-    m = m.selectExpr("concat('p.', o) full_name", "if(o % 3 = 0, concat('Message', o % 20, 'q'), concat('Order', o, 'q')) name", "fields")
+    m = m.selectExpr("concat('p.', o) full_name", "if(o % 3 = 0, concat('Message', o div 8, 'q'), concat('Order', o, 'q')) name", "fields")
     constants = f.where("o % 3 < 2").select(F.col("o").alias("class"), (F.col("o") % 10).cast("string").alias("package"), F.concat(F.lit("a"), "o").alias("simple"), F.upper("name").alias("stem"), "number")
     sure, hints = passes.message_names(m, constants, constants.select("package", "simple").distinct(), 4)
     return sure.select(F.col("item").alias("class"), F.col("value").alias("found"), F.lit(True).alias("proven")).union(hints.select("class", "name", F.lit(False)))
