@@ -22,6 +22,8 @@ BUCKETS = 2048
 SHAPE = 13
 WIDTH = BUCKETS + SHAPE
 _PIECE = 1 << 20
+#: Texts of so many words have their pairs counted by numbers.
+LONG_WORDS = 20_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[ord("A") : ord("Z") + 1] = 1
@@ -31,6 +33,15 @@ _KIND[[0x20, *range(0x09, 0x0E)]] = 4
 _KIND[128:] = 5
 
 
+def _distinct_pairs(words: list[str], seen: Counter) -> int:
+    """Distinct pairs of neighbouring words; those of a long text are counted by numbers, which take a tenth of the memory of tuples."""
+    if len(words) < LONG_WORDS:
+        return len(set(zip(words, words[1:], strict=False)))
+    number = {w: i for i, w in enumerate(seen)}
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    return len(np.unique(ids[:-1] * len(seen) + ids[1:]))
+
+
 def text_features(text: str | None) -> np.ndarray:
     out = np.zeros(WIDTH, np.float32)
     if not text:
@@ -51,9 +62,9 @@ def text_features(text: str | None) -> np.ndarray:
     shape = [np.log1p(n) / 10, *(kinds[1:5] / n), data.count(b"\n") / n * 10, kinds[5] / n]
     if words:
         seen = Counter(words)
-        pairs = set(zip(words, words[1:], strict=False))
+        pairs = _distinct_pairs(words, seen)
         signs = sum(c for w, c in seen.items() if not w[-1].isalnum() and w[-1] not in ".,")
-        shape += [len(seen) / len(words), len(pairs) / max(1, len(words) - 1), len(set(lines)) / len(lines), n / len(words) / 20, max(seen.values()) / len(words), signs / len(words)]
+        shape += [len(seen) / len(words), pairs / max(1, len(words) - 1), len(set(lines)) / len(lines), n / len(words) / 20, max(seen.values()) / len(words), signs / len(words)]
     else:
         shape += [0.0] * 6
     out[BUCKETS:] = shape

@@ -426,6 +426,14 @@ def test_mixing_meets_its_targets(spark, docs, none):
     assert mixed.columns == docs.columns and mixed.where("doc_id is not null").select("doc_id").distinct().count() == len({d[0] for d in DOCS}) - 1
 
 
+def test_features_of_long_texts(monkeypatch):
+    rng = np.random.RandomState(10)
+    text = " ".join(np.array(list("abcdefgh"))[rng.randint(0, 8, 500)])
+    one = features.text_features(text)
+    monkeypatch.setattr(features, "LONG_WORDS", 100)
+    assert (features.text_features(text) == one).all()
+
+
 def test_samples_are_the_smallest_hashes(spark):
     """A large domain, a small one, and one whose rows repeat one id, so that the first cut leaves too few."""
     rows = [(i, "large") for i in range(3000)] + [(i, "small") for i in range(5)] + [(7, "hot")] * 2000 + [(i, "hot") for i in range(30)]
