@@ -108,7 +108,8 @@ UNION ALL SELECT 'g', 'm' || p_partkey, '1.' || p_size, 'g', 'kept', '7.' || (p_
 """)
 def project_files(spark, d):
     """Versions of their own and managed ones; a test dependency is left out."""
-    x = t(spark, d, "part").selectExpr("""concat('<project><groupId>g</groupId><artifactId>m', p_partkey, '</artifactId><version>1.', p_size, '</version><dependencyManagement><dependencies><dependency><groupId>g</groupId><artifactId>kept</artifactId><version>7.', p_size % 3, '</version></dependency></dependencies></dependencyManagement><dependencies><dependency><groupId>g</groupId><artifactId>own</artifactId><version>3.', p_partkey % 4, '</version></dependency><dependency><groupId>g</groupId><artifactId>kept</artifactId></dependency><dependency><groupId>g</groupId><artifactId>junit</artifactId><version>4</version><scope>test</scope></dependency></dependencies></project>') xml""")
+    part = t(spark, d, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small file makes large texts
+    x = part.selectExpr("""concat('<project><groupId>g</groupId><artifactId>m', p_partkey, '</artifactId><version>1.', p_size, '</version><dependencyManagement><dependencies><dependency><groupId>g</groupId><artifactId>kept</artifactId><version>7.', p_size % 3, '</version></dependency></dependencies></dependencyManagement><dependencies><dependency><groupId>g</groupId><artifactId>own</artifactId><version>3.', p_partkey % 4, '</version></dependency><dependency><groupId>g</groupId><artifactId>kept</artifactId></dependency><dependency><groupId>g</groupId><artifactId>junit</artifactId><version>4</version><scope>test</scope></dependency></dependencies></project>') xml""")
     return text.pom_requests(x)
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,22 +193,38 @@ def module_requests(files: DataFrame, json: str) -> DataFrame:
     return out.select("group", "module", "version", F.col("d.g").alias("needs_group"), F.col("d.n").alias("needs"), F.col("d.v").alias("needs_version"), F.col("d.c").alias("constraint")).distinct()
 
 
+def project_requests(xml: str) -> list[tuple]:
+    """What ``pom_requests`` says of one file."""
+    root = ElementTree.fromstring(xml)
+    for element in root.iter():
+        if isinstance(element.tag, str):
+            element.tag = element.tag.rpartition("}")[2]
+    if root.tag != "project":
+        return []
+    said = lambda element, tag: "".join(x.itertext()).strip() if (x := element.find(tag)) is not None else None
+    properties = {x.get("k", x.tag): "".join(x.itertext()).strip() for x in root.findall("properties/*")}
+    managed = {(said(x, "groupId"), said(x, "artifactId")): said(x, "version") for x in root.findall("dependencyManagement/dependencies/dependency")}
+    own = tuple(said(root, tag) or "" for tag in ("groupId", "artifactId", "version"))
+    out = []
+    for x in root.findall("dependencies/dependency"):
+        key = said(x, "groupId"), said(x, "artifactId")
+        if key[1] and said(x, "scope") != "test" and said(x, "optional") != "true":
+            version = said(x, "version") or managed.get(key)
+            name = re.fullmatch(r"\$\{(.*)\}", version or "")
+            out.append((*own, *key, properties.get(name[1]) if name else version))
+    return out
+
+
 def pom_requests(poms: DataFrame, xml: str = "xml") -> DataFrame:
-    """(group, module, version, needs_group, needs, needs_version) of project files: ``${name}`` replaced by the file's properties, missing versions by its managed ones; test and optional ones left out. A parent's properties and managed versions are the caller's to append."""
-    p = lambda path: F.xpath(xml, F.lit(path))
-    base = "/project/dependencies/dependency"
-    properties = F.map_from_arrays(F.transform(p("/project/properties/*/@k"), lambda x: x), p("/project/properties/*/text()"))
-    managed = "/project/dependencyManagement/dependencies/dependency"
-    rows = poms.select(
-        F.xpath_string(xml, F.lit("/project/groupId")).alias("group"), F.xpath_string(xml, F.lit("/project/artifactId")).alias("module"), F.xpath_string(xml, F.lit("/project/version")).alias("version"),
-        properties.alias("props"), F.arrays_zip(p(f"{base}/groupId/text()").alias("g"), p(f"{base}/artifactId/text()").alias("a")).alias("deps"),
-        F.map_from_arrays(p(f"{base}[version]/artifactId/text()"), p(f"{base}/version/text()")).alias("own"), F.map_from_arrays(p(f"{managed}/artifactId/text()"), p(f"{managed}/version/text()")).alias("managed"),
-        p(f"{base}[scope='test' or optional='true']/artifactId/text()").alias("left_out"),
-    )
-    rows = rows.withColumn("d", F.explode("deps")).where(~F.array_contains("left_out", F.col("d.a")))
-    found = F.coalesce(F.try_element_at("own", F.col("d.a")), F.try_element_at("managed", F.col("d.a")))
-    name = F.regexp_extract(found, r"^\$\{(.*)\}$", 1)
-    return rows.select("group", "module", "version", F.col("d.g").alias("needs_group"), F.col("d.a").alias("needs"), F.when(name != "", F.try_element_at("props", name)).otherwise(found).alias("needs_version"))
+    """(group, module, version, needs_group, needs, needs_version) of project files: ``${name}`` replaced by the file's properties, missing versions by its managed ones; test and optional ones left out. A parent's properties and managed versions are the caller's to append. A file is parsed once."""
+    columns = ["group", "module", "version", "needs_group", "needs", "needs_version"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row for x in batch.column(0).to_pylist() if x for row in project_requests(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], pa.string()) for i in range(len(columns))], columns)
+
+    return poms.select(xml).mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))
 
 
 # Dumps
