@@ -7,22 +7,38 @@ Every loop stops when nothing changes. Bounds are part of the meaning of
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows checkpointed in the shared folder that ``spark.checkpoint.dir`` names; where it is unset, a local master, as in tests, gets one of its own and a cluster an error."""
-    context = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> None:
+    """Sets the shared folder that ``spark.checkpoint.dir`` names; where it is unset, a local master, as in tests, gets one of its own and a cluster an error."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        given = spark.conf.get("spark.checkpoint.dir", None)
         if not given and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="corroba-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows checkpointed in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as compressed columns in the shared folder, for tables that are read often or in parts. The driver then collects its garbage, on which Spark's cleaner drops the shuffle files behind them."""
+    spark = df.sparkSession
+    _shared(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/corroba/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def closure(edges: DataFrame, src: str, dst: str, max_depth: int = 64) -> DataFrame:
     """(src, dst, depth): the least number of steps; more than ``max_depth`` are an error. Cycles end by the seen set."""
     step = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
