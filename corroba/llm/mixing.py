@@ -121,8 +121,8 @@ def _matrix(column: pa.Array, domains: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, domains)
 
 
-def _sums(known: DataFrame, domains: int, f) -> np.ndarray:
-    """Sums over all rows of the vectors that ``f(n, p)`` gives for a batch; one short row a batch leaves the workers."""
+def _sums(known: DataFrame, domains: int, f, width: int) -> np.ndarray:
+    """Sums over all rows of the vectors that ``f(n, p)`` gives for a batch; one vector a task leaves the workers. Vectors of up to ``2 * MAX_DOMAINS`` sums are added by one task, as a step is not worth a shuffle over all partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -133,7 +133,8 @@ def _sums(known: DataFrame, domains: int, f) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "s"])
 
-    rows = known.select("n_tokens", "posterior").mapInArrow(run, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
+    parts = known.select("n_tokens", "posterior").mapInArrow(run, "k int, s double")
+    rows = (parts.repartition(1) if width <= 2 * MAX_DOMAINS else parts).groupBy("k").agg(F.sum("s").alias("s")).collect()
     return np.array([r.s for r in sorted(rows)])
 
 
@@ -149,7 +150,7 @@ def target_totals(available: np.ndarray, domains: list[str], weights: dict[str,
 def fit_rates(known: DataFrame, domains: list[str], weights: dict[str, float] | None, temper: float, floor: float, max_steps: int, tolerance: float) -> tuple[list[tuple[float, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
     """The steps that ``replay`` needs; tokens there are, targets and reached totals by domain."""
     k = len(domains)
-    first = _sums(known, k, lambda n, p: np.concatenate([n @ p, ((p * n[:, None]).T @ p).ravel()]))
+    first = _sums(known, k, lambda n, p: np.concatenate([n @ p, ((p * n[:, None]).T @ p).ravel()]), k + k * k)
     if not len(first) or not first[:k].sum():
         return [], np.zeros(k), np.zeros(k), np.zeros(k)
     available, gram = first[:k], first[k:].reshape(k, k)
@@ -163,7 +164,7 @@ def fit_rates(known: DataFrame, domains: list[str], weights: dict[str, float] |
         if steps:
             after = (1 + (1 + 4 * t * t) ** 0.5) / 2
             momentum, t = (t - 1) / after, after
-        sums = _sums(known, k, lambda n, p, s=list(steps), m=momentum: np.concatenate([(n * r) @ p for r in ahead_of(p, s, floor, m)])) if steps else np.tile(available, 2)
+        sums = _sums(known, k, lambda n, p, s=list(steps), m=momentum: np.concatenate([(n * r) @ p for r in ahead_of(p, s, floor, m)]), 2 * k) if steps else np.tile(available, 2)
         reached, ahead = sums[:k], sums[k:]
         errors.append(float((np.abs(reached - target) / own).max()))
         if errors[-1] <= tolerance:

@@ -235,12 +235,13 @@ def _blocks(members: DataFrame, block: int, block_shingles: int) -> DataFrame:
     return sorted_rows.mapInArrow(run, "cluster binary, n bigint, digest binary, component binary, block bigint")
 
 
-def _within_clusters(mixed: DataFrame, texts: DataFrame, words: int, percent: int, block: int, block_shingles: int, k: int, floor: int) -> DataFrame:
-    """All links between components of classes that share a mixed cell; ``mixed``: v, band, digest, n, component."""
+def _within_clusters(mixed: DataFrame, texts: DataFrame, words: int, percent: int, block: int, block_shingles: int, k: int, floor: int, held: list[DataFrame]) -> DataFrame:
+    """All links between components of classes that share a mixed cell; ``mixed``: v, band, digest, n, component. ``held`` gets the stored tables that the result reads."""
     heads = mixed.groupBy("v", "band").agg(F.min("digest").alias("head"), F.count("*").alias("entries"))
-    clusters = connected_components(_at_cells(mixed, heads).where("digest <> head").select("digest", "head").distinct(), "digest", "head")
+    clusters = connected_components(_at_cells(mixed, heads, held=held).where("digest <> head").select("digest", "head").distinct(), "digest", "head", held=held)
     members = mixed.select("digest", "n", "component").distinct().join(clusters.select(F.col("node").alias("digest"), F.col("component").alias("cluster")), "digest")
     blocks = stored(_blocks(members, block, block_shingles), "blocks")
+    held.append(blocks)
     span = blocks.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     i = span.select("cluster", F.col("block").alias("i"), F.col("hi").alias("hi"), "c0", "c1")
     j = span.select("cluster", F.col("block").alias("j"), F.col("lo").alias("lo"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
@@ -252,10 +253,11 @@ def _within_clusters(mixed: DataFrame, texts: DataFrame, words: int, percent: in
     return _block_links(rows.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "digest"), words, percent, k, floor)
 
 
-def _at_cells(entries: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ("v", "band")) -> DataFrame:
-    """Entries with what ``cells`` says of their key; keys without a row there are left out. ``cells`` has ``entries``, their number: keys with over a thousandth of all are broadcast to their entries, so that no task gets a hot one."""
+def _at_cells(entries: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ("v", "band"), *, held: list[DataFrame]) -> DataFrame:
+    """Entries with what ``cells`` says of their key; keys without a row there are left out. ``cells`` has ``entries``, their number: keys with over a thousandth of all are broadcast to their entries, so that no task gets a hot one. ``held`` gets the stored table that the result reads."""
     total, keys = entries.count(), list(keys)
     cells = stored(cells, "cells")
+    held.append(cells)
     hot = cells.where(F.col("entries") > total // 1000)  # under a thousand
     cold = entries.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cells.where(F.col("entries") <= total // 1000), keys)
     return entries.join(F.broadcast(hot), keys).select(cold.columns).union(cold).drop("entries")
@@ -280,21 +282,27 @@ def near_duplicates(
     ``block_shingles``: classes and shingles of a block; a task holds the sets of two.
     """
     floor_shared, deep_floor = chance_floor(index_k, percent, INDEX_MISS), chance_floor(deep_k, percent, DEEP_MISS)
+    held: list[DataFrame] = []  # stored tables that nothing reads once the ids are there
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        held.append(stored(df, name))
+        return held[-1]
+
     rows = stored(sketches(docs, id_col, text_col, words, k), "sketches")
-    classes = stored(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes = keep(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     values = classes.select("digest", "n", F.explode(F.slice("sketch", 1, index_k)).alias("v"))
     frequent = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
-    held = values.join(frequent, "v").groupBy("digest").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    alive = stored(held.where(f"shared >= {_floor('n', index_k, floor_shared, percent)}").select("digest"), "alive")
+    shared = values.join(frequent, "v").groupBy("digest").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    alive = keep(shared.where(f"shared >= {_floor('n', index_k, floor_shared, percent)}").select("digest"), "alive")
 
     need_text = classes.select("digest", "rep").join(alive, "digest", "left_semi")
     reps = need_text.select(F.col("rep").alias("need")).distinct()  # a class whose rows all have a null id has a null one
     found = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(reps, F.col("rep").eqNullSafe(F.col("need")), "left_semi")
-    texts = stored(_class_texts(found, words).join(alive, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
+    texts = keep(_class_texts(found, words).join(alive, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
     sketch = classes.select("digest", "sketch").join(alive, "digest", "left_semi")
 
-    deep = stored(_deep_values(texts, words, deep_k), "deep")
+    deep = keep(_deep_values(texts, words, deep_k), "deep")
     common_values = deep.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     every = Window.partitionBy("digest")
     band = (F.floor(F.log("n") / -np.log(percent / 100)) if percent < 100 else F.col("n")).cast("int")
@@ -306,19 +314,19 @@ def near_duplicates(
         .where(f"at <= shared - {_floor('n', deep_k, deep_floor, percent)} + 1")
         .select("v", F.explode(F.array(band - 1, band)).alias("band"), "digest", "n", "central")
     )
-    lists = stored(lists, "lists")
+    lists = keep(lists, "lists")
 
     first = lists.groupBy("v", "band").agg(F.max(F.struct("central", "digest", "n")).alias("top"), F.count("*").alias("entries")).where("entries > 1")
-    pairs = _at_cells(lists, first).select(F.col("digest").alias("a"), F.col("top.digest").alias("b"), "n", F.col("top.n").alias("m"))
+    pairs = _at_cells(lists, first, held=held).select(F.col("digest").alias("a"), F.col("top.digest").alias("b"), "n", F.col("top.n").alias("m"))
     near = pairs.where(f"a <> b and 100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b").distinct()
     close = near.join(sketch.select(F.col("digest").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("digest").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     # A union of fewer values than the sketch holds is whole, and its share exact.
     enough = F.when(F.size(union) < k, 100 * both >= percent * F.size(union)).otherwise(both >= chance_floor(k, percent, INDEX_MISS))
-    close = stored(close.where(enough).select("a", "b"), "close")
-    links = stored(_verify(close, texts, words, percent), "links")
-    together = stored(connected_components(links), "components") if not links.isEmpty() else None
+    close = keep(close.where(enough).select("a", "b"), "close")
+    links = keep(_verify(close, texts, words, percent), "links")
+    together = keep(connected_components(links, held=held), "components") if not links.isEmpty() else None
 
     def with_component(df: DataFrame) -> DataFrame:
         if together is None:
@@ -327,19 +335,19 @@ def near_duplicates(
 
     known = with_component(lists.select("v", "band", "digest", "n"))
     open_cells = known.groupBy("v", "band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("entries")).where("c0 < c1").select("v", "band", "entries")
-    mixed = stored(_at_cells(known, open_cells), "mixed")
+    mixed = keep(_at_cells(known, open_cells, held=held), "mixed")
     if not mixed.isEmpty():
-        more = stored(_within_clusters(mixed, texts, words, percent, block, block_shingles, deep_k, deep_floor), "more")
+        more = keep(_within_clusters(mixed, texts, words, percent, block, block_shingles, deep_k, deep_floor, held), "more")
         if not more.isEmpty():
-            together = stored(connected_components(links.union(more)), "components")
+            together = keep(connected_components(links.union(more), held=held), "components")
 
     named = classes.select("digest", "rep", "copies", "n")
     named = with_component(named)
     # Components of several rows; others stand for themselves.
     several = F.max(F.col("component") != F.col("digest")) | (F.max("copies") > 1)
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("entries"), several.alias("several")).where("several").drop("several")
-    ids = stored(_at_cells(named, smallest, ("component",)).select("digest", "component_id"), "ids")
-    discard(docs.sparkSession, texts, lists, deep)
+    ids = stored(_at_cells(named, smallest, ("component",), held=held).select("digest", "component_id"), "ids")
+    discard(docs.sparkSession, *held)
     return (
         rows.select("doc_id", "n_shingles", "digest", "text_hash")
         .join(ids, "digest", "left")

@@ -194,7 +194,7 @@ def _opened(pieces: DataFrame, first: int, capacity: int, ranges: int) -> tuple[
     order = [F.desc("length"), "doc_id", "piece", "ids_crc32"]
     rows = stored(pieces.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, f"{_PIECES}, local bigint, offset bigint, part int"), "opened")
     bases = []
-    for r in rows.groupBy("part").agg((F.max("local") + 1).alias("n")).orderBy("part").collect():  # a row a range
+    for r in sorted(rows.groupBy("part").agg((F.max("local") + 1).alias("n")).collect()):  # a row a range
         bases.append((r.part, first))
         first += r.n
     table = pieces.sparkSession.createDataFrame(bases, "part int, base long")
@@ -237,7 +237,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, sweeps: int = 1, range_rows: i
                     F.min(F.when(F.col("state") == OPEN_GAP, F.col("size"))).alias("smallest"),
                     F.count_if(F.col("state") == PLACED).alias("placed"),
                 )
-                found = found.orderBy("part").collect()  # a row a range
+                found = sorted(found.collect())  # a row a range
                 matches = resolve([tuple(r)[:5] for r in found])
                 placed, after, open_pieces = _matched(swept, matches, capacity)
                 done += [swept.where(f"state = {PLACED}").select(*_NAMES, "sequence_id", "offset"), placed]
